@@ -342,9 +342,10 @@ def loop_families(loops: DataFrame, threshold: float = SIMILARITY, max_rounds: i
                 .when(F.col("blocked"), "open")
                 .otherwise("leader")
                 .alias("status"),
-            )
+            ),
+            "status = 'open'",
         )
-        if state.filter("status = 'open'").isEmpty():
+        if not stages.seen["status = 'open'"]:
             break
     else:
         raise RuntimeError(f"families not settled after {max_rounds} rounds")
@@ -391,3 +392,12 @@ def sampled(items: Column, count: int = COORDS_PER_SEGMENT) -> Column:
     step = F.greatest(F.lit(1), F.floor(F.size(items) / count).cast("int"))
     last = F.size(items) - 1
     return F.filter(items, lambda _, i: (i % step == 0) | (i == last))
+
+
+def sample_rows(rows: DataFrame, keys: list[str], count: int = COORDS_PER_SEGMENT) -> DataFrame:
+    """The same choice over rows (keys, pos), for series too long to hold in an array."""
+    size = rows.groupBy(*keys).agg((F.max("pos") + 1).alias("_n"))
+    step = F.greatest(F.lit(1), F.floor(F.col("_n") / count))
+    return rows.join(size, keys).filter(
+        (F.col("pos") % step == 0) | (F.col("pos") == F.col("_n") - 1)
+    ).drop("_n")

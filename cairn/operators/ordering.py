@@ -51,5 +51,5 @@ def spread_join(many: DataFrame, few: DataFrame, on: list[str], spread_by: str,
     share of ``many`` and each of its rows meets several rows of ``few``.
     """
     left = many.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
-    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    right = few.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)])))
     return left.join(right, [*on, "_salt"]).drop("_salt")

@@ -30,8 +30,8 @@ TITLE = (
 _LAT0 = "33e0 + cast({r} * 7919 % 10007 as double) / 10007e0 * 14e0"
 _LON0 = "-121e0 + cast({r} * 104729 % 10007 as double) / 10007e0 * 40e0"
 _J = "cast(floor({k} / 2) as bigint)"
-_LAT = _LAT0 + " + cast({j} * 5 % 12 as double) / 12e0 * 0.22e0 + cast(({r} * 31 + {j} * 17) % 97 as double) / 97e0 * 0.015e0"
-_LON = _LON0 + " + cast({j} * 7 % 12 as double) / 12e0 * 0.28e0 + cast(({k} % 2) * ({j} % 8) as double) * 0.00001e0"
+_LAT = _LAT0 + " + cast({j} * 5 % 12 as double) / 12e0 * 0.6e0 + cast(({r} * 31 + {j} * 17) % 97 as double) / 97e0 * 0.015e0"
+_LON = _LON0 + " + cast({j} * 7 % 12 as double) / 12e0 * 0.75e0 + cast(({k} % 2) * ({j} % 8) as double) * 0.00001e0"
 
 
 def _at(template: str, r: str, k: str) -> str:
@@ -62,7 +62,7 @@ VIEWS = {
         from nodes where kind = 'trailhead'""",
     "boxes": f"""
         select region_id, {_LAT0.format(r="region_id")} as min_lat, {_LON0.format(r="region_id")} as min_lon,
-          {_LAT0.format(r="region_id")} + 0.205e0 as max_lat, {_LON0.format(r="region_id")} + 0.26e0 as max_lon
+          {_LAT0.format(r="region_id")} + 0.555e0 as max_lat, {_LON0.format(r="region_id")} + 0.7e0 as max_lon
         from (select distinct o_custkey as region_id from orders) d""",
     "features": f"""
         select region_id, feature_id, class, nullif(title || word, '') as name, type,
@@ -96,7 +96,7 @@ VIEWS = {
           cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as int) as seg_idx,
           case l_suppkey % 6 when 0 then 'John Muir Trail' when 1 then 'Pacific Crest Trail' when 2 then '(unnamed)'
             else 'Trail ' || cast(l_suppkey % 6 as string) end as trail_name,
-          l_quantity / 5e0 as length_mi,
+          l_quantity / 4e0 as length_mi,
           cast(floor(l_extendedprice / 50e0) as bigint) as gain_ft,
           cast(floor(l_extendedprice * (1e0 - l_discount) / 50e0) as bigint) as loss_ft,
           {TITLE.format("l_partkey")} as feature, {TITLE.format("(l_suppkey + 3)")} as rumour,
@@ -104,11 +104,11 @@ VIEWS = {
             when 'SMALL' then 'streams' when 'MEDIUM' then 'springs' else 'landmarks' end as category,
           case p_type when 'ECONOMY' then 'lake' when 'STANDARD' then 'peak' when 'PROMO' then 'saddle'
             when 'SMALL' then 'water' when 'MEDIUM' then 'waterfall' else 'spring' end as type,
-          l_returnflag, l_quantity, l_suppkey
+          l_returnflag, l_quantity, l_suppkey, l_partkey
         from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey""",
     "leg_days": """
         select request_id, cast(1 + floor(seg_idx / 2) as int) as day,
-          floor(sum(l_quantity) / 5e0 * 10e0 + 0.5e0) / 10e0 as miles,
+          floor(sum(l_quantity) / 4e0 * 10e0 + 0.5e0) / 10e0 as miles,
           cast(sum(gain_ft) as bigint) as gain_ft, cast(sum(loss_ft) as bigint) as loss_ft,
           min(feature) as feature, min(rumour) as rumour
         from legs group by request_id, cast(1 + floor(seg_idx / 2) as int)""",
@@ -119,8 +119,8 @@ VIEWS = {
           || cast(gain_ft + (request_id % 5) * 60 as string) || ' ft and carry water to ' || rumour || '.' as note
         from leg_days""",
     "given": """
-        select request_id, floor(sum(l_quantity) / 5e0 * 10e0 + 0.5e0) / 10e0 as total_miles,
-          floor(sum(l_quantity) / 5e0 * 10e0 + 0.5e0) / 10e0 + cast(request_id % 4 as double) * 0.2e0 as told_miles,
+        select request_id, floor(sum(l_quantity) / 4e0 * 10e0 + 0.5e0) / 10e0 as total_miles,
+          floor(sum(l_quantity) / 4e0 * 10e0 + 0.5e0) / 10e0 + cast(request_id % 4 as double) * 0.2e0 as told_miles,
           cast(sum(gain_ft) as bigint) + (request_id % 3) * 40 as total_gain_ft,
           cast(sum(loss_ft) as bigint) - (request_id % 4) * 30 as total_loss_ft,
           cast(count(*) as bigint) as segments, cast(1 + request_id % 4 as int) as days,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def local_session(cores: str = "8", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -51,9 +51,22 @@ class Stages:
         self.spark = spark
         self.root = f"{scratch_root(spark)}/stages-{uuid.uuid4().hex}"
         self.count = 0
+        self.seen: dict[str, int] = {}
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, *flags: str) -> DataFrame:
+        """Write the table and read it back.
+
+        ``flags`` are conditions; ``self.seen`` tells how many rows met each,
+        counted while the table was written.
+        """
         self.count += 1
         path = f"{self.root}/{self.count:04d}"
-        df.write.parquet(path)
+        watched, note = df, None
+        if flags:
+            note = Observation()
+            watched = df.observe(
+                note, *[F.count_if(F.coalesce(F.expr(c), F.lit(False))).alias(c) for c in flags]
+            )
+        watched.write.parquet(path)
+        self.seen = note.get if note else {}
         return self.spark.read.schema(df.schema).parquet(path)
