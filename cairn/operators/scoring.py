@@ -52,12 +52,11 @@ def elevation_fit(gain_ft: Column, days: Column, tolerance: Column) -> Column:
 
 def scenery_counts(types: Column) -> Column:
     """Features per scenery word, computed once per route before any pairing."""
-    return F.struct(
-        *[
-            F.size(F.filter(types, lambda t, wanted=wanted: t.isin(wanted))).alias(word)
-            for word, wanted in SCENERY_TYPES.items()
-        ]
-    )
+
+    def count(wanted: list[str]) -> Column:
+        return F.size(F.filter(types, lambda t: t.isin(wanted)))
+
+    return F.struct(*[count(wanted).alias(word) for word, wanted in SCENERY_TYPES.items()])
 
 
 def scenery_match(
