@@ -40,13 +40,19 @@ def range_text(first: Column, last: Column) -> Column:
 
 
 def grams(text: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
-    """Distinct character grams of a text, used as join keys for substring tests."""
-
-    def of(n: int) -> Column:
-        last = F.length(text) - (n - 1)
-        return F.when(
-            last >= 1,
-            F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(n))),
-        ).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
+    """Distinct character grams of up to three, used as join keys for substring tests.
+
+    The text is cut into characters once and shifted copies are zipped, so the
+    cost grows with the length of the text and not with its square.
+    """
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    rest = F.greatest(F.size(chars), F.lit(1))
+    rows = F.arrays_zip(
+        chars.alias("a"), F.slice(chars, F.lit(2), rest).alias("b"), F.slice(chars, F.lit(3), rest).alias("c")
+    )
+    of = {
+        1: chars,
+        2: F.transform(F.filter(rows, lambda r: r["b"].isNotNull()), lambda r: F.concat(r["a"], r["b"])),
+        3: F.transform(F.filter(rows, lambda r: r["c"].isNotNull()), lambda r: F.concat(r["a"], r["b"], r["c"])),
+    }
+    return F.array_distinct(F.concat(*[of[n] for n in sizes]))

@@ -96,6 +96,9 @@ VIEWS = {
           cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as int) as seg_idx,
           case l_suppkey % 6 when 0 then 'John Muir Trail' when 1 then 'Pacific Crest Trail' when 2 then '(unnamed)'
             else 'Trail ' || cast(l_suppkey % 6 as string) end as trail_name,
+          case when l_partkey % 10 = 0 then 'Trail ' || cast(l_partkey % 7 as string) else
+            case l_suppkey % 6 when 0 then 'John Muir Trail' when 1 then 'Pacific Crest Trail' when 2 then '(unnamed)'
+            else 'Trail ' || cast(l_suppkey % 6 as string) end end as told_trail,
           l_quantity / 4e0 as length_mi,
           cast(floor(l_extendedprice / 50e0) as bigint) as gain_ft,
           cast(floor(l_extendedprice * (1e0 - l_discount) / 50e0) as bigint) as loss_ft,
@@ -108,7 +111,7 @@ VIEWS = {
         from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey""",
     "leg_days": """
         select request_id, cast(1 + floor(seg_idx / 2) as int) as day,
-          floor(sum(l_quantity) / 4e0 * 10e0 + 0.5e0) / 10e0 as miles,
+          sum(length_mi) as miles,
           cast(sum(gain_ft) as bigint) as gain_ft, cast(sum(loss_ft) as bigint) as loss_ft,
           min(feature) as feature, min(rumour) as rumour
         from legs group by request_id, cast(1 + floor(seg_idx / 2) as int)""",
