@@ -338,6 +338,8 @@ def boundary_nodes(segments: DataFrame, nodes: DataFrame, bbox: DataFrame, toler
 def summarize(segments: DataFrame, junction_nodes: DataFrame, component_sizes: DataFrame) -> DataFrame:
     """Counts, miles and connectivity per region, with a total row (null region)."""
     named = F.length(F.coalesce(F.col("name"), F.lit(""))) > 0
+    # lengths have three decimals: summed as whole thousandths, order does not matter
+    milli = F.floor(F.col("length_mi") * 1000 + 0.5)
     pct = F.floor(F.col("named_miles") / F.nullif(F.col("total_miles"), F.lit(0.0)) * 100 + 0.5)
     lines = (
         segments.rollup("region_id")
@@ -345,8 +347,8 @@ def summarize(segments: DataFrame, junction_nodes: DataFrame, component_sizes: D
             F.count(F.lit(1)).alias("segments"),
             F.count_if(named).alias("named_segments"),
             F.count_distinct(F.when(named, F.col("name"))).alias("trail_names"),
-            F.sum("length_mi").alias("total_miles"),
-            F.coalesce(F.sum(F.when(named, F.col("length_mi"))), F.lit(0.0)).alias("named_miles"),
+            (F.sum(milli) / 1000.0).alias("total_miles"),
+            (F.coalesce(F.sum(F.when(named, milli)), F.lit(0)) / 1000.0).alias("named_miles"),
         )
         .withColumn("named_pct", pct.cast("long"))
         .withColumn("total_miles", round_to(F.col("total_miles"), 1))

@@ -9,6 +9,7 @@ from cairn.operators import components as comp, contraction, distance, elevation
 from cairn.plans import build
 from cairn.plans.registry import half, hav, query, r3
 from cairn.plans.views import view
+from cairn.session import Stages
 
 
 def round3(df: DataFrame, *names: str) -> DataFrame:
@@ -30,7 +31,9 @@ NODE_TAGS = """
 
 
 def elements(spark: SparkSession, sf: str) -> DataFrame:
-    return build.elements(view(spark, sf, "nodes"), view(spark, sf, "trailheads"), view(spark, sf, "features"), view(spark, sf, "water_vertices"), view(spark, sf, "ways"), view(spark, sf, "way_nodes"))
+    """The elements as a table, written once as an extract would be."""
+    rows = build.elements(view(spark, sf, "nodes"), view(spark, sf, "trailheads"), view(spark, sf, "features"), view(spark, sf, "water_vertices"), view(spark, sf, "ways"), view(spark, sf, "way_nodes"))
+    return Stages(spark).cut(rows)
 
 
 @query(
@@ -258,7 +261,7 @@ def prj16(spark, sf):
     with {SEGMENTS}, named as (select s.*, w.name from segment s join ways w on s.way_id = w.way_id),
     lines as (
       select region_id, count(*) as segments, count(name) as named_segments, count(distinct name) as trail_names,
-        sum(length_mi) as mi, coalesce(sum(case when name is not null then length_mi end), 0) as nmi
+        cast(sum(floor(length_mi * 1000e0 + 0.5e0)) as double) / 1000e0 as mi, cast(coalesce(sum(case when name is not null then floor(length_mi * 1000e0 + 0.5e0) end), 0) as double) / 1000e0 as nmi
       from named group by rollup (region_id)),
     j as (select region_id, count(*) as junctions from junction group by rollup (region_id))
     select lines.region_id, segments, named_segments, trail_names, floor(mi * 10e0 + 0.5e0) / 10e0 as total_miles,
