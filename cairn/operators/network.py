@@ -201,8 +201,9 @@ def junctions(vertices: DataFrame, trailheads: DataFrame) -> DataFrame:
 def split_ways(vertices: DataFrame, junction_nodes: DataFrame) -> DataFrame:
     """Cut ways at interior junctions; the cut vertex belongs to both sides.
 
-    Returns ``region_id, way_id, sub, pos, node_id``. Windows run per way: a
+    Adds ``sub``, the number of the piece within its way. Windows run per way: a
     way arrives as one array in one input row, so it is bounded by its source.
+    Coordinates that are already there are carried along.
     """
     marked = vertices.join(
         junction_nodes.select("region_id", "node_id").distinct().withColumn("is_junction", F.lit(1)),
@@ -227,7 +228,7 @@ def split_ways(vertices: DataFrame, junction_nodes: DataFrame) -> DataFrame:
             ),
         )
         .filter("last_pos > 0")
-        .select("region_id", "way_id", "sub", "pos", "node_id")
+        .select("region_id", "way_id", "sub", "pos", "node_id", *[c for c in ("lat", "lon") if c in vertices.columns])
     )
 
 
@@ -264,16 +265,26 @@ def drop_short(segments: DataFrame, miles: str = "miles", shortest: float = SHOR
     return segments.filter(F.col(miles) >= shortest)
 
 
-def assemble(sub_vertices: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Sub-segment vertices to one row per sub-segment with ordered node ids and exact miles."""
-    points = located(sub_vertices, nodes)
+def assemble(points: DataFrame) -> DataFrame:
+    """One row per piece with ordered node ids and exact miles.
+
+    ``points``: located vertices of :func:`split_ways`. Rows of a way are
+    together already, so steps and sums need no further shuffle.
+    """
     keys = ["region_id", "way_id", "sub"]
-    shape = points.groupBy(*keys).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda v: v["node_id"]
-        ).alias("node_ids")
+    along = Window.partitionBy(*keys).orderBy("pos")
+    step = haversine_miles(
+        F.lag("lat").over(along), F.lag("lon").over(along), F.col("lat"), F.col("lon")
+    )
+    return (
+        points.withColumn("step", step)
+        .groupBy(*keys)
+        .agg(
+            F.array_sort(F.collect_list(F.struct("pos", "node_id"))).alias("v"),
+            F.coalesce(F.sum("step"), F.lit(0.0)).alias("miles"),
+        )
+        .select(*keys, F.transform("v", lambda x: x["node_id"]).alias("node_ids"), "miles")
     )
-    return shape.join(polyline_miles(points, keys), keys)
 
 
 def segments_from(subs: DataFrame, way_info: DataFrame) -> DataFrame:

@@ -152,7 +152,13 @@ def score_routes(prefs: DataFrame, routes: DataFrame) -> DataFrame:
     return with_scores(spread_join(slim, profiles(prefs), ["region_id"], "route_id"))
 
 
-def per_traveller(prefs: DataFrame, scored: DataFrame) -> DataFrame:
-    """Scored rows of each traveller's profile."""
+def per_traveller(prefs: DataFrame, scored: DataFrame, few: bool = False) -> DataFrame:
+    """Scored rows of each traveller's profile.
+
+    ``few`` tells that a profile has a handful of rows (picks); then the
+    travellers are salted, since many may share one profile.
+    """
     who = prefs.select("pref_id", profile_key().alias("profile"))
+    if few:
+        return spread_join(who, scored, ["profile"], "pref_id")
     return spread_join(scored, who, ["profile"], "route_id")

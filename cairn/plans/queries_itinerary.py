@@ -10,7 +10,8 @@ from cairn.functions import geo, hiking, text
 from cairn.operators import itinerary as it, quality as q
 from cairn.plans.queries_network import round3
 from cairn.plans.registry import half, query, r1, r3
-from cairn.plans.views import table, view
+from cairn.plans.views import kept, table, view
+from cairn.session import Stages
 
 KEY = ["request_id", "route"]
 CATS = it.CATEGORIES
@@ -336,13 +337,15 @@ def fn13(spark, sf):
 
 
 def told_days(spark, sf):
-    legs = view(spark, sf, "legs")
+    """Days as they were written, as a table."""
+    legs = kept(spark, sf, "legs")
     day = (F.floor(F.col("seg_idx") / 2) + 1).cast("int")
     shifted = F.col("seg_idx") + F.when((F.col("request_id") + F.col("seg_idx")) % 10 == 0, 1).otherwise(0)
     lists = legs.groupBy("request_id", day.alias("day")).agg(
         F.collect_set("told_trail").alias("trail_names"), F.collect_list(shifted).alias("segment_ids")
     )
-    return view(spark, sf, "notes").join(lists, ["request_id", "day"]).select("*", main(), F.col("day").alias("entry"))
+    days = view(spark, sf, "notes").join(lists, ["request_id", "day"]).select("*", main(), F.col("day").alias("entry"))
+    return Stages(spark).cut(days)
 
 
 def given(spark, sf):
@@ -358,8 +361,10 @@ def input_segments(spark, sf):
 
 
 def corpus(spark, sf):
-    feats = view(spark, sf, "legs").select("request_id", main(), F.col("feature").alias("name"))
-    return q.names_of(feats, input_segments(spark, sf))
+    legs = kept(spark, sf, "legs")
+    feats = legs.select("request_id", main(), F.col("feature").alias("name"))
+    trails = legs.select("request_id", main(), "trail_name")
+    return Stages(spark).cut(q.names_of(feats, trails))
 
 
 def allowed(spark, sf):

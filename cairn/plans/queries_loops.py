@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from cairn.functions import geo
 from cairn.operators import loops, network as net, walks
 from cairn.plans import families
-from cairn.plans.queries_network import SEGMENTS, elements, raw_segments, round3, series
+from cairn.plans.queries_network import SEGMENTS, elements, kept_segments, raw_segments, round3, series
 from cairn.plans.registry import half, query, r1, r3
 from cairn.plans.views import view
-from cairn.session import Stages
 
 WALKS = (
     SEGMENTS
@@ -33,7 +32,7 @@ WALKS = (
 
 def short_walks(spark, sf, cap=walks.ANCHOR_CAP):
     """Closed walks of up to five edges; the full depth is searched by gr10."""
-    segs = Stages(spark).cut(raw_segments(spark, sf))
+    segs = kept_segments(spark, sf)
     anchors = walks.start_nodes(segs, view(spark, sf, "trailheads"))
     return walks.closed_walks(segs, anchors, max_edges=5, cap=cap)
 

@@ -8,7 +8,7 @@ from cairn.functions import geo
 from cairn.operators import components as comp, contraction, distance, elevation as elev, network as net, walks
 from cairn.plans import build
 from cairn.plans.registry import half, hav, query, r3
-from cairn.plans.views import view
+from cairn.plans.views import kept, view
 from cairn.session import Stages
 
 
@@ -166,10 +166,17 @@ def pieces(spark, sf):
 
 def raw_segments(spark, sf):
     """Segments without the merging of micro pieces."""
-    subs = net.assemble(pieces(spark, sf), view(spark, sf, "nodes"))
+    wn, nodes = kept(spark, sf, "way_nodes"), kept(spark, sf, "nodes")
+    spots = net.junctions(wn, nodes.filter("kind = 'trailhead'"))
+    subs = net.assemble(net.split_ways(net.located(wn, nodes), spots))
     return net.segments_from(subs, view(spark, sf, "ways"))
 
 
+def kept_segments(spark, sf):
+    """The same, written once where several steps read them."""
+    return Stages(spark).cut(raw_segments(spark, sf))
+
+
 @query("agg1", "select region_id, node_id, count(distinct way_id) as way_count from way_nodes group by region_id, node_id")
 def agg1(spark, sf):
     return net.node_usage(view(spark, sf, "way_nodes"))
@@ -269,9 +276,9 @@ def prj16(spark, sf):
     from lines join j on lines.region_id is not distinct from j.region_id""",
 )
 def agg4(spark, sf):
-    wn = view(spark, sf, "way_nodes")
+    wn = kept(spark, sf, "way_nodes")
     spots = net.junctions(wn, view(spark, sf, "trailheads"))
-    segs = raw_segments(spark, sf)
+    segs = kept_segments(spark, sf)
     labels = comp.components(spots, segs.select("region_id", F.col("start_node").alias("src"), F.col("end_node").alias("dst")))
     return net.summarize(segs, spots, comp.component_sizes(labels)).filter("segments is not null").drop(
         "components", "largest_component", "largest_component_pct"
@@ -307,8 +314,8 @@ REACH = EDGES + """, reach(node_id, other) as (
 
 
 def _components(spark, sf, segs=None):
-    segs = raw_segments(spark, sf) if segs is None else segs
-    spots = net.junctions(view(spark, sf, "way_nodes"), view(spark, sf, "trailheads"))
+    segs = kept_segments(spark, sf) if segs is None else segs
+    spots = net.junctions(kept(spark, sf, "way_nodes"), view(spark, sf, "trailheads"))
     return comp.components(spots, segs.select("region_id", F.col("start_node").alias("src"), F.col("end_node").alias("dst")))
 
 
@@ -341,13 +348,13 @@ def _seeds(segs):
 
 @query("gr4", f"with recursive {REACH} {SEED} select s.region_id, m.node_id from main m join spot s on s.node_id = m.node_id")
 def gr4(spark, sf):
-    segs = raw_segments(spark, sf)
+    segs = kept_segments(spark, sf)
     return comp.main_component(segs, _components(spark, sf, segs), _seeds(segs))
 
 
 @query("join8", f"with recursive {REACH} {SEED} select region_id, seg_id, length_mi from segment where start_node in (select node_id from main)")
 def join8(spark, sf):
-    segs = raw_segments(spark, sf)
+    segs = kept_segments(spark, sf)
     main = comp.main_component(segs, _components(spark, sf, segs), _seeds(segs))
     return comp.within(segs, main).select("region_id", "seg_id", "length_mi")
 
@@ -370,7 +377,7 @@ def line_points(spark, sf):
 
 
 def near_points(spark, sf, kinds=("peak", "pass", "spring", "landmark")):
-    pts, feats = line_points(spark, sf), view(spark, sf, "features")
+    pts, feats = Stages(spark).cut(line_points(spark, sf)), kept(spark, sf, "features")
     out = None
     for kind in kinds:
         part = distance.nearby(pts, feats.filter(F.col("class") == kind), distance.BUFFER_MI[kind], "way_id").withColumn("class", F.lit(kind))
@@ -394,8 +401,8 @@ def join2(spark, sf):
     having min({hav("v.lat", "v.lon", "n.lat", "n.lon")}) <= case v.class when 'lake' then 0.25e0 else 0.031e0 end""",
 )
 def join3(spark, sf):
-    water = distance.sample_water(view(spark, sf, "water_vertices"))
-    pts = line_points(spark, sf)
+    water = distance.sample_water(kept(spark, sf, "water_vertices"))
+    pts = Stages(spark).cut(line_points(spark, sf))
     parts = [
         distance.nearby(pts, water.filter(F.col("class") == k), distance.BUFFER_MI[k], "way_id").withColumn("class", F.lit(k))
         for k in ("lake", "stream")
@@ -593,6 +600,6 @@ def win10(spark, sf):
     select anchor, node_id, {r3("min(dist)")} as dist from go group by 1, 2""",
 )
 def gr5(spark, sf):
-    segs = raw_segments(spark, sf)
+    segs = kept_segments(spark, sf)
     anchors = walks.start_nodes(segs, view(spark, sf, "trailheads"))
     return round3(walks.shortest_miles(anchors, walks.directed_edges(segs), 12.0), "dist").select("anchor", "node_id", "dist")

@@ -36,8 +36,8 @@ def kept(spark, sf):
     return Stages(spark).cut(scored(spark, sf).select("profile", "route_id", "score", "center_lat", "center_lon"))
 
 
-def per_pref(spark, sf, df):
-    return scoring.per_traveller(prefs(spark, sf), df)
+def per_pref(spark, sf, df, few=False):
+    return scoring.per_traveller(prefs(spark, sf), df, few)
 
 
 def _has(word: str) -> str:
@@ -121,7 +121,7 @@ PICKS = f"""
 @query("top1", f"with {PARTS} select pref_id, route_id, score, cast(raw_rank as int) as raw_rank from (select *, row_number() over (partition by pref_id order by score desc, route_id) as raw_rank from score) s where raw_rank <= 10")
 def top1(spark, sf):
     best = ranking.leaders(scored(spark, sf).select("profile", "route_id", "score"))
-    return per_pref(spark, sf, best).select("pref_id", "route_id", "score", "raw_rank")
+    return per_pref(spark, sf, best, few=True).select("pref_id", "route_id", "score", "raw_rank")
 
 
 @query("win7", f"with {PARTS} select pref_id, route_id, row_number() over (partition by pref_id order by score desc, route_id) as raw_rank from score")
@@ -137,7 +137,7 @@ def win8(spark, sf):
 @query("top2", f"with {PICKS} select pref_id, cast(pick_idx as int) as pick_idx, route_id, score, count(*) over (partition by pref_id) >= 3 as complete from pick")
 def top2(spark, sf):
     picks = ranking.diverse_top(scored(spark, sf))
-    return per_pref(spark, sf, picks).select("pref_id", "pick_idx", "route_id", "score", "complete")
+    return per_pref(spark, sf, picks, few=True).select("pref_id", "pick_idx", "route_id", "score", "complete")
 
 
 @query("sc8", f"with {PICKS} select pref_id, cast(pick_idx as int) as pick_idx, route_id, score, raw_rank, count(*) over (partition by pref_id) >= 3 as complete from pick")
@@ -146,7 +146,7 @@ def sc8(spark, sf):
     every = kept(spark, sf)
     picks = ranking.diverse_top(every)
     ranks = ranking.raw_ranks(picks, every)
-    return per_pref(spark, sf, picks.join(ranks, ["profile", "pick_idx", "route_id"])).select(
+    return per_pref(spark, sf, picks.join(ranks, ["profile", "pick_idx", "route_id"]), few=True).select(
         "pref_id", "pick_idx", "route_id", "score", "raw_rank", "complete"
     )
 

@@ -15,6 +15,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.session import Stages
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -223,3 +225,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if re.search(rf"(from|join)\s+{base}\b", text):
             table(spark, sf_dir, base).createOrReplaceTempView(base)
     return spark.sql(text)
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view written once, for queries that read it several times as they would a table."""
+    return Stages(spark).cut(view(spark, sf_dir, name))
