@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.functions.geo import half_up, round_to
 from cairn.functions.text import grams, slug
@@ -229,13 +229,13 @@ def add_alerts(alerts: DataFrame, new: DataFrame) -> DataFrame:
     def key(df: DataFrame) -> DataFrame:
         return df.withColumn("_start", F.coalesce(F.col("start_date").cast("string"), F.lit("")))
 
-    once = Window.partitionBy("email", "region_id", "_start").orderBy("id")
+    same = ["email", "region_id", "_start"]
     fresh = (
         key(new)
-        .join(key(alerts).select("email", "region_id", "_start"), ["email", "region_id", "_start"], "left_anti")
-        .withColumn("_n", F.row_number().over(once))
-        .filter("_n = 1")
-        .select(*alerts.columns)
+        .join(key(alerts).select(*same), same, "left_anti")
+        .groupBy(*same)
+        .agg(F.min_by(F.struct(*alerts.columns), "id").alias("a"))
+        .select("a.*")
     )
     return alerts.unionByName(fresh)
 
