@@ -82,24 +82,28 @@ def permit_info(regions: DataFrame, registry: DataFrame) -> DataFrame:
 def open_dates(requests: DataFrame, availability: DataFrame) -> DataFrame:
     """Open dates on or after the start of each request.
 
-    ``requests``: request_id, permit_id, start_date. ``availability``:
-    permit_id, date, status. The range test is part of the equi join.
+    ``requests``: permit_id, start_date and what else they carry.
+    ``availability``: permit_id, date, status. The range test is part of the equi join.
     """
     slots = availability.filter(is_open(F.col("status"))).select("permit_id", "date").distinct()
     return requests.join(slots, "permit_id").filter(F.col("date") >= F.col("start_date"))
 
 
 def available_counts(requests: DataFrame, availability: DataFrame) -> DataFrame:
-    """Number of open dates, whether there is any, and the dates as one sorted key."""
+    """Number of open dates, whether there is any, and the dates as one sorted key.
+
+    Requests for the same permit and start date share one lookup.
+    """
+    same = ["permit_id", "start_date"]
     found = (
-        open_dates(requests, availability)
-        .groupBy("request_id")
+        open_dates(requests.select(*same).distinct(), availability)
+        .groupBy(*same)
         .agg(
             F.count(F.lit(1)).alias("available_count"),
             F.array_join(F.array_sort(F.collect_set(F.col("date").cast("string"))), ",").alias("dates_key"),
         )
     )
-    return requests.join(found, "request_id", "left").select(
+    return requests.join(found, same, "left").select(
         "request_id",
         F.coalesce("available_count", F.lit(0)).cast("long").alias("available_count"),
         (F.coalesce("available_count", F.lit(0)) > 0).alias("available"),
@@ -269,7 +273,6 @@ def check_alerts(alerts: DataFrame, registry: DataFrame, availability: DataFrame
         live.filter("not expired and permit_id is not null and start_date is not null")
         .select("permit_id", "start_date")
         .distinct()
-        .withColumn("request_id", F.concat_ws("|", "permit_id", F.col("start_date").cast("string")))
     )
     found = (
         open_dates(asked, availability)

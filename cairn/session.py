@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -35,9 +36,13 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="cairn-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _local_folder().name
+
+
+@functools.cache
+def _local_folder() -> tempfile.TemporaryDirectory:
+    """One temporary folder per process, removed when the process ends."""
+    return tempfile.TemporaryDirectory(prefix="cairn-", ignore_cleanup_errors=True)
 
 
 class Stages:
