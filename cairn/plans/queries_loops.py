@@ -249,7 +249,7 @@ def gr9(spark, sf):
 
 @query("gr10")
 def gr10(spark, sf):
-    found = families.clusters_of(elements(spark, sf), view(spark, sf, "elevation"), min_mi=25.0, max_mi=32.0)
+    found = families.clusters_of(elements(spark, sf), view(spark, sf, "elevation"))
     return found.select(
         "region_id", "cluster_id", "miles", "total_gain_ft", "total_loss_ft", "feature_count", "distinct_lakes", "distinct_peaks",
         "distinct_passes", geo.round_to(F.col("ht_ratio"), 3).alias("ht_ratio"), "trailhead_count", "cluster_size", "top_trail",
