@@ -2,9 +2,15 @@
 
 from cairn.llm import decontamination
 from cairn.llm.common import table
+from cairn.llm.near_copies import near_copies
 from cairn.llm.registry import query
 
 
 @query("op8_decontamination", decontamination.SQL)
 def op8(spark, sf_dir):
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
+@query("op5_near_copies")
+def op5(spark, sf_dir):
+    return near_copies(table(spark, sf_dir, "documents"), size=2)
