@@ -1,6 +1,6 @@
 """Queries over shared passages and near copies."""
 
-from cairn.llm import decontamination
+from cairn.llm import decontamination, fingerprints
 from cairn.llm.common import table
 from cairn.llm.near_copies import near_copies
 from cairn.llm.registry import query
@@ -14,3 +14,8 @@ def op8(spark, sf_dir):
 @query("op5_near_copies")
 def op5(spark, sf_dir):
     return near_copies(table(spark, sf_dir, "documents"), size=2)
+
+
+@query("op3_simhash")
+def op3(spark, sf_dir):
+    return fingerprints.with_edits(table(spark, sf_dir, "documents"))
