@@ -137,8 +137,8 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, high, low`` of every distinct row."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.explode(distinct_words(F.col("text"))).alias("word"))
-    return voted(rows, ["doc_id", "hash"]).drop("hash")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    return voted(rows.select("doc_id", "hash", F.explode(distinct_words(F.col("text"))).alias("word")), ["doc_id", "hash"]).drop("hash")
 
 
 def within(prints: DataFrame, radius: int = 3, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
