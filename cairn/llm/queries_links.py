@@ -1,6 +1,6 @@
 """Queries over shared passages and near copies."""
 
-from cairn.llm import decontamination, fingerprints
+from cairn.llm import decontamination, fingerprints, url_rules
 from cairn.llm.common import table
 from cairn.llm.near_copies import near_copies
 from cairn.llm.registry import query
@@ -19,3 +19,9 @@ def op5(spark, sf_dir):
 @query("op3_simhash")
 def op3(spark, sf_dir):
     return fingerprints.with_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op2_url_rules", url_rules.SQL)
+def op2(spark, sf_dir):
+    rules = spark.createDataFrame(url_rules.RULES, "host string, path string, action string")
+    return url_rules.judged(table(spark, sf_dir, "pages"), rules)

@@ -1,6 +1,6 @@
 """Queries with models that are trained here."""
 
-from cairn.llm import personal, toxicity
+from cairn.llm import languages, personal, toxicity
 from cairn.llm.common import table
 from cairn.llm.registry import query
 
@@ -14,3 +14,9 @@ def op1(spark, sf_dir):
 @query("op10_toxicity")
 def op10(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_language_id")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return languages.languages(docs, languages.fit(docs))
