@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-ROWS = 512  # rows that Python code handles at a time
+ROWS = 1024  # rows that Python code handles at a time
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

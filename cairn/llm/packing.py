@@ -66,11 +66,12 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", size: int = LE
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, end = encoder(public_file(tokenizer)), np.array([END_ID], "<u4").tobytes()
+        tool = encoder(public_file(tokenizer))
         for batch in slices(batches):
             rows = []
-            for key, data in zip(batch.column(0).to_pylist(), tool.encode([t or "" for t in batch.column(1).to_pylist()])):
-                data += end
+            ids, sizes = tool.encode(batch.column(1), END_ID)
+            for key, own in zip(batch.column(0).to_pylist(), np.split(ids, np.cumsum(sizes)[:-1])):
+                data = own.tobytes()
                 for k in range(-(-len(data) // (4 * size))):
                     part = data[4 * size * k : 4 * size * (k + 1)]
                     row = (key, k, size * k, len(part) // 4, zlib.crc32(part))

@@ -132,21 +132,20 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str = "byte_bpe_50k.
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, shard = encoder(public_file(tokenizer)), TaskContext.get().partitionId()
-        end = np.array([END_ID], "<u4").tobytes()
         names, lengths, parts, count, segment, before = [], [], [], 0, 0, 0
 
         def flush():
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            ids = np.concatenate(parts)
             row = (shard, segment, names[0], len(names), len(ids), before, write_segment(names, lengths, ids))
             return pa.RecordBatch.from_pylist([dict(zip(_SEGMENTS.names, row))], _SEGMENTS)
 
         for batch in slices(batches):
-            keys = batch.column(0).to_pylist()
-            for key, data in zip(keys, tool.encode([t or "" for t in batch.column(1).to_pylist()])):
+            ids, sizes = tool.encode(batch.column(1), END_ID)
+            for key, part in zip(batch.column(0).to_pylist(), np.split(ids, np.cumsum(sizes)[:-1])):
                 names.append(key)
-                parts += [data, end]
-                lengths.append(len(data) // 4 + 1)
-                count += lengths[-1]
+                parts.append(part)
+                lengths.append(len(part))
+                count += len(part)
                 if count >= SEGMENT_IDS:
                     yield flush()
                     before += count
