@@ -1,6 +1,6 @@
 """Queries over shared passages and near copies."""
 
-from cairn.llm import decontamination, fingerprints, url_rules
+from cairn.llm import decontamination, fingerprints, lines, url_rules
 from cairn.llm.common import table
 from cairn.llm.near_copies import near_copies
 from cairn.llm.registry import query
@@ -25,3 +25,8 @@ def op3(spark, sf_dir):
 def op2(spark, sf_dir):
     rules = spark.createDataFrame(url_rules.RULES, "host string, path string, action string")
     return url_rules.judged(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op9_line_dedup")
+def op9(spark, sf_dir):
+    return lines.judged(table(spark, sf_dir, "documents"))
