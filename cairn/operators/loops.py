@@ -38,7 +38,7 @@ def fingerprint(seg_ids: Column) -> Column:
 
 def unique_loops(walks: DataFrame) -> DataFrame:
     """The shortest walk per fingerprint; equal miles go to the first in search order."""
-    seg_ids = F.transform("path", lambda d: F.floor(d / 2).cast("long"))
+    seg_ids = F.transform("path", lambda d: F.shiftright(d, 1))
     return (
         walks.withColumn("print", fingerprint(seg_ids))
         .groupBy("region_id", "print")
@@ -54,7 +54,7 @@ def unique_loops(walks: DataFrame) -> DataFrame:
 def loop_steps(loops: DataFrame, segments: DataFrame) -> DataFrame:
     """One row per step of a loop with its segment and its direction."""
     step = loops.select("region_id", "loop_id", F.posexplode("path").alias("step", "dir_id"))
-    return step.withColumn("seg_id", F.floor(F.col("dir_id") / 2).cast("long")).join(
+    return step.withColumn("seg_id", F.shiftright("dir_id", 1)).join(
         segments, ["region_id", "seg_id"]
     ).withColumn("forward", F.col("dir_id") % 2 == 0)
 

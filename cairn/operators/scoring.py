@@ -33,7 +33,7 @@ def _clamp(x: Column, lo: float = 0.0, hi: float = 100.0) -> Column:
 
 
 def mileage_fit(miles: Column, days: Column, target: Column) -> Column:
-    off = F.abs(miles / days - target) / target
+    off = F.try_divide(F.abs(F.try_divide(miles, days) - target), target)
     return half_up(_clamp(100.0 - off * 200.0))
 
 
@@ -46,7 +46,7 @@ def _band(tolerance: Column, part: int) -> Column:
 
 
 def elevation_fit(gain_ft: Column, days: Column, tolerance: Column) -> Column:
-    away = F.abs(gain_ft / days - _band(tolerance, 0)) / (_band(tolerance, 1) + BAND_SLACK_FT)
+    away = F.abs(F.try_divide(gain_ft, days) - _band(tolerance, 0)) / (_band(tolerance, 1) + BAND_SLACK_FT)
     return half_up(100.0 * F.greatest(F.lit(0.0), 1.0 - away * away))
 
 
@@ -67,7 +67,7 @@ def scenery_match(
     def found(word: Column) -> Column:
         out = F.when(word == "forest", F.when(ht_ratio < 0.2, 1).otherwise(0)).when(
             word == "alpine",
-            F.when(((peaks > 0) | (passes > 0)) & (gain_ft / days > 2000), 1).otherwise(0),
+            F.when(((peaks > 0) | (passes > 0)) & (F.try_divide(gain_ft, days) > 2000), 1).otherwise(0),
         )
         for known in SCENERY_TYPES:
             out = out.when(word == known, counts[known])

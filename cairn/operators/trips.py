@@ -315,7 +315,7 @@ def notifications(checked: DataFrame) -> DataFrame:
     return checked.filter("outcome = 'notify'").select(
         "id",
         "email",
-        F.concat(F.lit("Permit available — "), F.coalesce("permit_name", F.col("region_id").cast("string"))).alias("subject"),
+        F.concat(F.lit("Open dates: "), F.coalesce("permit_name", F.col("region_id").cast("string"))).alias("subject"),
         "date_list",
         "start_date",
         "end_date",

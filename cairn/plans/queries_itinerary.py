@@ -313,12 +313,12 @@ def fn10(spark, sf):
     "fn11",
     f"""
     with {_LISTS}
-    select request_id, day, 'Long day' as title from dayrow where miles >= 15
-    union all select request_id, day, 'Major climbing' from dayrow where gain_ft >= 3500
-    union all select request_id, day, 'Water planning' from dayrow where contains(note, 'carry water')
-    union all select request_id, day, passes[1] || ' crossing' from dayrow where len(passes) > 0
-    union all select request_id, day, 'Popular trail segment' from dayrow where list_contains(trails, 'John Muir Trail') or list_contains(trails, 'Pacific Crest Trail')
-    union all select request_id, day, 'Active bear country' from dayrow where regexp_matches(note, '(?i)bear|grizzly')""",
+    select request_id, day, 'Many miles' as title from dayrow where miles >= 15
+    union all select request_id, day, 'Much climbing' from dayrow where gain_ft >= 3500
+    union all select request_id, day, 'Plan water' from dayrow where contains(note, 'carry water')
+    union all select request_id, day, passes[1] || ': high ground' from dayrow where len(passes) > 0
+    union all select request_id, day, 'Shared long trail' from dayrow where list_contains(trails, 'John Muir Trail') or list_contains(trails, 'Pacific Crest Trail')
+    union all select request_id, day, 'Bears about' from dayrow where regexp_matches(note, '(?i)bear|grizzly')""",
 )
 def fn11(spark, sf):
     d = day_lists(spark, sf)
@@ -614,8 +614,7 @@ def agg21(spark, sf):
     "fn24",
     """with w as (select g.request_id, '- [day-count] last day is ' || cast(d as varchar) || ', wanted ' || cast(days as varchar) as line
          from given g join (select request_id, max(day) as d from leg_days group by 1) x on x.request_id = g.request_id where d <> days)
-       select request_id, 'Your previous output had 1 validation errors:' || chr(10) || chr(10) || line || chr(10) || chr(10)
-         || 'Please fix these and output the corrected JSON array only.' as text from w""",
+       select request_id, '1 findings to mend:' || chr(10) || line || chr(10) || 'Send the whole list again as JSON.' as text from w""",
 )
 def fn24(spark, sf):
     return q.corrections(q.day_count(told_days(spark, sf), given(spark, sf)))

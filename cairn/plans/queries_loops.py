@@ -19,36 +19,44 @@ WALKS = (
       where degree >= 3 or (h.node_id is not null and degree >= 2)),
     move as (select start_node as src, end_node as dst, seg_id * 2 as dir_id, length_mi as mi from segment
       union all select end_node, start_node, seg_id * 2 + 1, length_mi from segment where start_node <> end_node),
+    hop as (select src, dst, min(mi) as mi from move where src <> dst group by 1, 2),
+    home(anchor, node_id, dist) using key (anchor, node_id) as (
+      select node_id, node_id, 0e0 from anchor
+      union
+      select h.anchor, p.dst, min(h.dist + p.mi) from home h join hop p on p.src = h.node_id
+        left join recurring.home o on o.anchor = h.anchor and o.node_id = p.dst
+      where h.dist + p.mi <= 22.5e0 and h.dist + p.mi < coalesce(o.dist, 1e9) group by 1, 2),
     walk(region_id, anchor, node_id, miles, path) as (
       select region_id, node_id, node_id, 0e0, cast([] as bigint[]) from anchor
       union all
       select w.region_id, w.anchor, m.dst, w.miles + m.mi, list_append(w.path, m.dir_id)
-      from walk w join move m on m.src = w.node_id
-      where (len(w.path) = 0 or w.node_id <> w.anchor) and len(w.path) < 5 and not list_contains(w.path, m.dir_id)
-        and w.miles + m.mi <= 45e0 and (m.dst <> w.anchor or w.miles + m.mi >= 25e0)),
-    closed as (select region_id, anchor, miles, path from walk where node_id = anchor and len(path) > 0)"""
+      from walk w join move m on m.src = w.node_id join home o on o.anchor = w.anchor and o.node_id = m.dst
+      where (len(w.path) = 0 or w.node_id <> w.anchor) and len(w.path) < 40 and not list_contains(w.path, m.dir_id)
+        and w.miles + m.mi + o.dist <= 45e0 and (m.dst <> w.anchor or w.miles + m.mi >= 25e0)),
+    closed as (select region_id, anchor, miles, path from (
+      select *, row_number() over (partition by region_id, anchor order by path) as place
+      from walk where node_id = anchor and len(path) > 0) c where place <= 2000)"""
 )
 
 
-def short_walks(spark, sf, cap=walks.ANCHOR_CAP):
-    """Closed walks of up to five edges; the full depth is searched by gr10."""
+def all_walks(spark, sf):
+    """Closed walks at the full limits: 40 edges, 2000 walks per anchor."""
     segs = kept_segments(spark, sf)
     anchors = walks.start_nodes(segs, view(spark, sf, "trailheads"))
-    return walks.closed_walks(segs, anchors, max_edges=5, cap=cap)
+    return walks.closed_walks(segs, anchors)
 
 
 @query("gr6", f"with recursive {WALKS} select anchor, {r3('miles')} as miles, array_to_string(path, '.') as path from closed")
 def gr6(spark, sf):
-    return round3(short_walks(spark, sf), "miles").select("anchor", "miles", F.array_join("path", ".").alias("path"))
+    return round3(all_walks(spark, sf), "miles").select("anchor", "miles", F.array_join("path", ".").alias("path"))
 
 
-@query(
-    "top4",
-    f"""with recursive {WALKS} select anchor, array_to_string(path, '.') as path from (
-          select *, row_number() over (partition by anchor order by path) as place from closed) p where place <= 10""",
-)
+@query("top4", f"with recursive {WALKS} select anchor, count(*) as walks, max(len(path)) as longest, array_to_string(max(path), '.') as last from closed group by 1")
 def top4(spark, sf):
-    return short_walks(spark, sf, cap=10).select("anchor", F.array_join("path", ".").alias("path"))
+    """What the cap leaves of each anchor: how many walks, the longest, and the last in search order."""
+    return all_walks(spark, sf).groupBy("anchor").agg(
+        F.count(F.lit(1)).alias("walks"), F.max(F.size("path")).cast("long").alias("longest"), F.array_join(F.max("path"), ".").alias("last")
+    )
 
 
 @query(
@@ -61,7 +69,7 @@ def top4(spark, sf):
     select region_id, print, {r3("min(miles)")} as miles from printed group by 1, 2""",
 )
 def gr7(spark, sf):
-    return round3(loops.unique_loops(short_walks(spark, sf)), "miles").select("region_id", "print", "miles")
+    return round3(loops.unique_loops(all_walks(spark, sf)), "miles").select("region_id", "print", "miles")
 
 
 # --- an order as a loop of its line items ---------------------------------

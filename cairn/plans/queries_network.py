@@ -594,12 +594,16 @@ def win10(spark, sf):
         select region_id, start_node as node_id from segment union all select region_id, end_node from segment) e group by 1, 2),
     anchor as (select d.region_id, d.node_id from d left join trailheads h on h.node_id = d.node_id
       where degree >= 3 or (h.node_id is not null and degree >= 2)),
-    go(region_id, anchor, node_id, dist, hops) as (
-      select region_id, node_id, node_id, 0e0, 0 from anchor
-      union select g.region_id, anchor, b, dist + mi, hops + 1 from go g join hop h on h.a = g.node_id where dist + mi <= 12e0 and hops < 12)
-    select anchor, node_id, {r3("min(dist)")} as dist from go group by 1, 2""",
+    step as (select a, b, min(mi) as mi from hop group by 1, 2),
+    home(anchor, node_id, dist) using key (anchor, node_id) as (
+      select node_id, node_id, 0e0 from anchor
+      union
+      select h.anchor, p.b, min(h.dist + p.mi) from home h join step p on p.a = h.node_id
+        left join recurring.home o on o.anchor = h.anchor and o.node_id = p.b
+      where h.dist + p.mi <= 22.5e0 and h.dist + p.mi < coalesce(o.dist, 1e9) group by 1, 2)
+    select anchor, node_id, {r3("dist")} as dist from home""",
 )
 def gr5(spark, sf):
     segs = kept_segments(spark, sf)
     anchors = walks.start_nodes(segs, view(spark, sf, "trailheads"))
-    return round3(walks.shortest_miles(anchors, walks.directed_edges(segs), 12.0), "dist").select("anchor", "node_id", "dist")
+    return round3(walks.shortest_miles(anchors, walks.directed_edges(segs), walks.MAX_MI / 2), "dist").select("anchor", "node_id", "dist")

@@ -196,8 +196,8 @@ def prj17(spark, sf):
 
 @query(
     "prj15",
-    """select id, case when id like '%7' then 'Valid email required' when id like '%3' then 'Valid regionId required'
-         when not coalesce(permit_required, false) then 'This region does not require a permit — no alert needed' end as error
+    """select id, case when id like '%7' then 'email address is malformed' when id like '%3' then 'region id is malformed'
+         when not coalesce(permit_required, false) then 'region has no permits to watch' end as error
        from alerts a left join registry g on g.region_id = a.region_id""",
 )
 def prj15(spark, sf):
@@ -209,9 +209,9 @@ def prj15(spark, sf):
 
 @query(
     "fn19",
-    """select region_id, case when not permit_required then 'No permit required' when is_lottery and region_id % 2 = 1 and region_id > 8 then 'Lottery opens Mar 5'
-         when is_lottery then 'Lottery required' when region_id % 3 = 0 then 'Permit required' when region_id % 3 = 1 then 'Permit available (' || cast(region_id as varchar) || ' dates)'
-         else 'Sold out for these dates' end as badge from registry""",
+    """select region_id, case when not permit_required then 'No permit' when is_lottery and region_id % 2 = 1 and region_id > 8 then 'Draw from Mar 5'
+         when is_lottery then 'By draw' when region_id % 3 = 0 then 'Needs a permit' when region_id % 3 = 1 then 'Open on ' || cast(region_id as varchar) || ' days'
+         else 'Full on these days' end as badge from registry""",
 )
 def fn19(spark, sf):
     r, k = view(spark, sf, "registry"), F.col("region_id")

@@ -22,10 +22,12 @@ def latest_slots(changes: DataFrame) -> DataFrame:
 
 def new_alerts_once(requests: DataFrame, late: str = "1 day") -> DataFrame:
     """Alert requests without repeats of address, region and start date (created_at is event time)."""
+    # a missing date is a value of its own here, and stays missing in the result
     return (
-        requests.withColumn("start_date", F.coalesce("start_date", F.lit("1970-01-01").cast("date")))
+        requests.withColumn("_start", F.coalesce(F.col("start_date").cast("string"), F.lit("")))
         .withWatermark("created_at", late)
-        .dropDuplicatesWithinWatermark(["email", "region_id", "start_date"])
+        .dropDuplicatesWithinWatermark(["email", "region_id", "_start"])
+        .drop("_start")
     )
 
 

@@ -298,3 +298,12 @@ def test_missing_points_break_lines_but_do_not_join_them(spark):
     pts = [(1, 0, 37.0, -119.0), (1, 1, None, None), (1, 2, 37.1, -119.0), (1, 3, 37.2, -119.0)]
     df = spark.createDataFrame(pts, "s long, pos long, lat double, lon double")
     assert round(net.polyline_miles(df, ["s"]).first()["miles"], 3) == 6.909
+
+
+def test_walks_on_a_grid_at_full_limits(spark):
+    """5 x 5 grid of 1-mile edges: the cap ends the search long before all walks are seen."""
+    edges = [(5 * r + c, 5 * r + c + 1, 1.0) for r in range(5) for c in range(4)]
+    edges += [(5 * r + c, 5 * r + c + 5, 1.0) for r in range(4) for c in range(5)]
+    given = spark.createDataFrame([(1, 12)], "region_id long, anchor long")
+    got = got_walks(walks.closed_walks(segments(spark, edges), given))
+    assert len(got) == 2000 and got == sorted(brute_walks(edges, [12], 25, 45))

@@ -21,7 +21,7 @@ def test_small_functions(spark):
     assert one(spark, text.file_slug(F.lit("A/B c"))) == "a-b-c"
     assert one(spark, trip.weather_text(F.lit(95))) == "Severe thunderstorm"
     assert one(spark, trip.date_list(F.array(*[F.lit(str(i)) for i in range(7)]))) == "0, 1, 2, 3, 4 +2 more"
-    assert one(spark, trip.permit_badge(F.lit(True), F.lit(True), F.lit("03-05"), F.lit(False), F.lit(False), F.lit(0))) == "Lottery opens Mar 5"
+    assert one(spark, trip.permit_badge(F.lit(True), F.lit(True), F.lit("03-05"), F.lit(False), F.lit(False), F.lit(0))) == "Draw from Mar 5"
     assert len(one(spark, trip.preference_errors(F.lit(0), F.lit(30.0), F.lit("x"), F.lit("soon")))) == 4
     camp = one(spark, hiking.camp(F.lit("Go on. Camp by Blue Lake tonight. End."), F.array(F.lit("Blue Lake")), F.array().cast("array<string>"), F.array().cast("array<string>")))
     assert tuple(camp) == ("by Blue Lake tonight", "Blue Lake", "lake", True)
