@@ -374,12 +374,15 @@ def summarize(segments: DataFrame, junction_nodes: DataFrame, component_sizes: D
     def keyed(df: DataFrame) -> DataFrame:
         return df.withColumn("region_key", F.coalesce(F.col("region_id").cast("string"), F.lit("")))
 
-    return (
+    every = (
         keyed(lines)
-        .join(keyed(spots).drop("region_id"), "region_key", "full")
-        .join(keyed(parts).drop("region_id"), "region_key", "full")
+        .join(keyed(spots).withColumnRenamed("region_id", "_spots"), "region_key", "full")
+        .join(keyed(parts).withColumnRenamed("region_id", "_parts"), "region_key", "full")
+    )
+    return (
+        every.withColumn("region_id", F.coalesce("region_id", "_spots", "_parts"))
         .withColumn("largest_component_pct", share)
-        .drop("region_key")
+        .drop("region_key", "_spots", "_parts")
     )
 
 

@@ -262,29 +262,6 @@ def prj16(spark, sf):
     return walks.start_nodes(raw_segments(spark, sf), view(spark, sf, "trailheads"))
 
 
-@query(
-    "agg4",
-    f"""
-    with {SEGMENTS}, named as (select s.*, w.name from segment s join ways w on s.way_id = w.way_id),
-    lines as (
-      select region_id, count(*) as segments, count(name) as named_segments, count(distinct name) as trail_names,
-        cast(sum(floor(length_mi * 1000e0 + 0.5e0)) as double) / 1000e0 as mi, cast(coalesce(sum(case when name is not null then floor(length_mi * 1000e0 + 0.5e0) end), 0) as double) / 1000e0 as nmi
-      from named group by rollup (region_id)),
-    j as (select region_id, count(*) as junctions from junction group by rollup (region_id))
-    select lines.region_id, segments, named_segments, trail_names, floor(mi * 10e0 + 0.5e0) / 10e0 as total_miles,
-      floor(nmi * 10e0 + 0.5e0) / 10e0 as named_miles, cast(floor(nmi / mi * 100e0 + 0.5e0) as bigint) as named_pct, junctions
-    from lines join j on lines.region_id is not distinct from j.region_id""",
-)
-def agg4(spark, sf):
-    wn = kept(spark, sf, "way_nodes")
-    spots = net.junctions(wn, view(spark, sf, "trailheads"))
-    segs = kept_segments(spark, sf)
-    labels = comp.components(spots, segs.select("region_id", F.col("start_node").alias("src"), F.col("end_node").alias("dst")))
-    return net.summarize(segs, spots, comp.component_sizes(labels)).filter("segments is not null").drop(
-        "components", "largest_component", "largest_component_pct"
-    )
-
-
 @query("gr2")
 def gr2(spark, sf):
     return round3(build.contracted(spark, view(spark, sf, "ways"), view(spark, sf, "way_nodes"), view(spark, sf, "trailheads"), view(spark, sf, "nodes")), "miles").select(
@@ -313,6 +290,30 @@ REACH = EDGES + """, reach(node_id, other) as (
     label as (select node_id, min(other) as component from reach group by node_id)"""
 
 
+@query(
+    "agg4",
+    f"""
+    with recursive {REACH}, named as (select s.*, w.name from segment s join ways w on s.way_id = w.way_id),
+    lines as (
+      select region_id, count(*) as segments, count(name) as named_segments, count(distinct name) as trail_names,
+        cast(sum(floor(length_mi * 1000e0 + 0.5e0)) as double) / 1000e0 as mi, cast(coalesce(sum(case when name is not null then floor(length_mi * 1000e0 + 0.5e0) end), 0) as double) / 1000e0 as nmi
+      from named group by rollup (region_id)),
+    j as (select region_id, count(*) as junctions from junction group by rollup (region_id)),
+    sizes as (select region_id, component, count(*) as size from spot s join label l on s.node_id = l.node_id group by 1, 2),
+    p as (select region_id, count(*) as components, max(size) as largest_component from sizes group by rollup (region_id))
+    select j.region_id, segments, named_segments, trail_names, floor(mi * 10e0 + 0.5e0) / 10e0 as total_miles,
+      floor(nmi * 10e0 + 0.5e0) / 10e0 as named_miles, cast(floor(nmi / mi * 100e0 + 0.5e0) as bigint) as named_pct, junctions,
+      components, largest_component, cast(floor(cast(largest_component as double) / junctions * 100e0 + 0.5e0) as bigint) as largest_component_pct
+    from j left join lines on lines.region_id is not distinct from j.region_id left join p on p.region_id is not distinct from j.region_id""",
+)
+def agg4(spark, sf):
+    wn = kept(spark, sf, "way_nodes")
+    spots = net.junctions(wn, view(spark, sf, "trailheads"))
+    segs = kept_segments(spark, sf)
+    labels = comp.components(spots, segs.select("region_id", F.col("start_node").alias("src"), F.col("end_node").alias("dst")))
+    return net.summarize(segs, spots, comp.component_sizes(labels))
+
+
 def _components(spark, sf, segs=None):
     segs = kept_segments(spark, sf) if segs is None else segs
     spots = net.junctions(kept(spark, sf, "way_nodes"), view(spark, sf, "trailheads"))

@@ -428,10 +428,15 @@ def _plain(df, *names):
     return df.withColumns({n: F.col(n).cast("timestamp_ntz") for n in names})
 
 
-@query("str3", "select time_bucket(interval '60 minutes', ts) as start, ip, count(*) as requests from log group by 1, 2 having count(*) > 1")
+_LIMITED = " union all ".join(
+    f"select '{kind}' as kind, time_bucket(interval '{minutes} minutes', ts) as start, ip, count(*) as requests, count(*) > {most} as over from log group by 2, 3"
+    for kind, (minutes, most) in traffic.LIMITS.items()
+)
+
+
+@query("str3", _LIMITED)
 def str3(spark, sf):
-    counts = traffic.request_counts(log(spark, sf), 60)
-    return _plain(traffic.breaches(counts, 1), "start").select("start", "ip", "requests")
+    return _plain(traffic.limited(log(spark, sf)), "start").select("kind", "start", "ip", "requests", "over")
 
 
 @query("str4", f"select date_trunc('hour', ts) as start, path, count(*) as requests, count(*) filter (status >= 500) as errors, {r3('avg(ms)')} as mean_ms, max(ms) as max_ms from log group by 1, 2")
@@ -446,6 +451,19 @@ def str5(spark, sf):
     return _plain(folds.latest_jobs(jobs), "ts")
 
 
+@query(
+    "str5_live",
+    f"""select ip || '-' || strftime(ts, '%d%H') as job_id, arg_max(path, ts) as status, min(ts) as created_at from log
+        where ts <= timestamp '{TODAY}' group by 1 having min(ts) >= timestamp '{TODAY}' - interval '60 minutes'""",
+)
+def str5_live(spark, sf):
+    """What has not expired at the start of today; a job here is an address within an hour."""
+    now = F.lit(TODAY).cast("timestamp")
+    job = F.concat("ip", F.lit("-"), F.date_format("ts", "ddHH"))
+    jobs = log(spark, sf).filter(F.col("ts") <= now).select(job.alias("job_id"), "ts", F.col("path").alias("status"))
+    return _plain(folds.live_jobs(jobs, now), "created_at")
+
+
 # --- documents -------------------------------------------------------------
 
 

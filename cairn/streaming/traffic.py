@@ -22,6 +22,18 @@ def request_counts(log: DataFrame, minutes: int, slide: int | None = None, late:
     )
 
 
+def limited(log: DataFrame, limits: dict[str, tuple[int, int]] = LIMITS) -> DataFrame:
+    """``kind, start, end, ip, requests, over``: the counts of every limit, and whether they pass it."""
+    parts = [
+        request_counts(log, minutes).select(F.lit(kind).alias("kind"), "*", (F.col("requests") > most).alias("over"))
+        for kind, (minutes, most) in limits.items()
+    ]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every
+
+
 def breaches(counts: DataFrame, most: int) -> DataFrame:
     return counts.filter(F.col("requests") > most)
 
