@@ -130,7 +130,7 @@ def weekend_open(permits: DataFrame, availability: DataFrame, today: Column) ->
 
 
 def bookable_now(regions: DataFrame, registry: DataFrame, availability: DataFrame, today: Column) -> DataFrame:
-    """Ready regions one can book for the next two weekends.
+    """Ready regions one can book for the next two weekends, with what a traveller needs to book.
 
     No permit needed is fine; a lottery or an unlisted region is not; otherwise
     a listed Saturday must be open.
@@ -149,7 +149,11 @@ def bookable_now(regions: DataFrame, registry: DataFrame, availability: DataFram
             .otherwise(F.coalesce("weekend_open", F.lit(False))),
         )
         .filter("available")
-        .select("region_id", "name", "available", "permit_required")
+        .select(
+            "region_id", "name", "available", "permit_required", F.lit(False).alias("is_lottery"),
+            F.when(~free, F.col("booking_url")).alias("booking_url"),
+            "best_months", next_saturdays(today).alias("weekends"),
+        )
     )
 
 

@@ -187,11 +187,17 @@ def join16(spark, sf):
     f"""
     with {_SATURDAYS}, w as (select permit_id, bool_or(status in ('Available', 'AVAILABLE')) as o from slots s join sat on sat.date = s.date group by 1),
     ready as (select region_id, name, region_id in (select c_nationkey from customer where c_acctbal > 9000) as ready from regions)
-    select r.region_id, r.name, true as available, g.permit_required from ready r join registry g on g.region_id = r.region_id left join w on w.permit_id = g.permit_id
+    select r.region_id, r.name, true as available, g.permit_required, false as is_lottery,
+      case when g.permit_required then booking_url end as booking_url, coalesce(array_to_string(best_months, '/'), '') as best_months,
+      (select string_agg(cast(date as varchar), '/' order by date) from sat) as weekends
+    from ready r join registry g on g.region_id = r.region_id left join w on w.permit_id = g.permit_id
     where r.ready and (not g.permit_required or (not g.is_lottery and g.permit_id is not null and coalesce(o, false)))""",
 )
 def prj17(spark, sf):
-    return trips.bookable_now(join13(spark, sf), view(spark, sf, "registry"), view(spark, sf, "slots"), today())
+    found = trips.bookable_now(join13(spark, sf), view(spark, sf, "registry"), view(spark, sf, "slots"), today())
+    return found.withColumn("best_months", F.coalesce(F.array_join("best_months", "/"), F.lit(""))).withColumn(
+        "weekends", F.array_join(F.transform("weekends", lambda d: d.cast("string")), "/")
+    )
 
 
 @query(

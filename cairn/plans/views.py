@@ -162,7 +162,8 @@ VIEWS = {
         select cast(n_nationkey as bigint) as region_id, n_nationkey % 5 <> 0 as permit_required,
           n_name || ' Permit' as permit_name,
           case when n_nationkey % 7 = 3 then null else 'p' || cast(n_nationkey as string) end as permit_id,
-          n_nationkey % 4 = 1 as is_lottery, 'https://example.org/' || cast(n_nationkey as string) as booking_url
+          n_nationkey % 4 = 1 as is_lottery, 'https://example.org/' || cast(n_nationkey as string) as booking_url,
+          case when n_nationkey % 6 < 5 then split('June,' || case when n_nationkey % 2 = 0 then 'July' else 'May' end, ',') end as best_months
         from nation where n_name <> 'NATION_10' and n_name <> 'NATION_21'""",
     "slots": """
         select 'p' || cast(user_id % 25 as string) as permit_id, cast(ts as date) as date, event_type,
