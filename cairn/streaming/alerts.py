@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from cairn.operators.trips import check_alerts, next_alerts, notifications
@@ -43,28 +43,47 @@ def watch(
     registry: DataFrame,
     root: str,
     clock: Callable[[], Column] = F.current_timestamp,
+    asked: DataFrame | None = None,
 ) -> StreamingQuery:
     """Check alerts after each batch of availability changes until the input is used up.
 
+    ``alerts`` are those known at the start, ``asked`` is a stream of further
+    ones with the same columns. One that repeats the address, region and start
+    date of a known alert is left out; a missing date equals a missing date.
+
     State is two tables under ``root``, one version per batch: slots and alerts.
     A batch reads the versions before it and overwrites its own, so a repeated
     batch gives the same result. Whole sorted date sets are compared, so a
     revised slot notifies again and an unchanged set does not.
     """
     spark = changes.sparkSession
+    feed = changes.select(F.struct("permit_id", "date", "status", "seen_at").alias("slot"))
+    if asked is not None:
+        wanted = [f.name for f in T.StructType.fromDDL(schemas.ALERT).fields]
+        feed = feed.unionByName(asked.select(F.struct(*wanted).alias("alert")), allowMissingColumns=True)
+
+    def joined(before: DataFrame, batch: DataFrame) -> DataFrame:
+        if asked is None:
+            return before
+        same = ["email", "region_id", "_start"]
+        start = F.coalesce(F.col("start_date").cast("string"), F.lit(""))
+        fresh = batch.filter("alert is not null").select("alert.*").withColumn("_start", start)
+        first = Window.partitionBy(*same).orderBy("created_at", "id")
+        fresh = fresh.withColumn("_place", F.row_number().over(first)).filter("_place = 1").drop("_place")
+        return before.unionByName(fresh.join(before.withColumn("_start", start), same, "left_anti").drop("_start"))
 
     def step(batch: DataFrame, number: int) -> None:
         known = _versioned(spark, root, "slots", number - 1, SLOTS)
-        slots = latest_slots(known.unionByName(batch.select(*known.columns)))
+        slots = latest_slots(known.unionByName(batch.filter("slot is not null").select("slot.*")))
         slots.write.mode("overwrite").parquet(f"{root}/slots/version={number}")
         slots = _versioned(spark, root, "slots", number, SLOTS)
         before = alerts if number == 0 else _versioned(spark, root, "alerts", number - 1, schemas.ALERT)
-        checked = check_alerts(before, registry, slots, clock())
+        checked = check_alerts(joined(before, batch), registry, slots, clock())
         notifications(checked).write.mode("overwrite").parquet(f"{root}/sent/version={number}")
         next_alerts(checked, clock()).write.mode("overwrite").parquet(f"{root}/alerts/version={number}")
 
     return (
-        changes.writeStream.foreachBatch(step)
+        feed.writeStream.foreachBatch(step)
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
         .start()

@@ -1,5 +1,6 @@
 """Documents, sinks, alerts and streams."""
 
+import datetime
 import json
 
 from pyspark.sql import functions as F
@@ -130,3 +131,26 @@ def test_alert_watch_over_batches(spark, tmp_path):
     assert [sent(n) for n in range(4)] == [[("a", "2024-02-05")], [], [("a", "2024-02-05, 2024-02-07")], []]
     left = {r["id"]: r["last_notified"] for r in spark.read.parquet(f"{root}/alerts/version=3").collect()}
     assert left == {"a": "2024-02-05,2024-02-07", "b": None}
+
+
+def test_alerts_that_arrive_later(spark, tmp_path):
+    """New alerts join the watch; a repeat is left out; one without a start date stays."""
+    schema = "id string, email string, region_id string, start_date date, end_date date, created_at timestamp, last_checked timestamp, last_notified string"
+    row = lambda i, email, start, at: (i, email, "r1", start, None, datetime.datetime(2024, 1, 1, 0, at), None, None)
+    day = datetime.date(2024, 2, 3)
+    known = spark.createDataFrame([row("a", "x@y.z", day, 0)], schema)
+    registry = spark.createDataFrame([("r1", "p1", "One", None)], "region_id string, permit_id string, permit_name string, booking_url string")
+    slots, asked, root = tmp_path / "slots", tmp_path / "asked", str(tmp_path / "state")
+    later = [[], [row("b", "n@y.z", day, 1), row("c", "x@y.z", day, 2), row("d", "n@y.z", day, 3), row("e", "z@y.z", None, 4)]]
+    for i, rows in enumerate(later):
+        df = spark.createDataFrame([("p1", datetime.date(2024, 2, 5), "Available", datetime.datetime(2024, 1, 2, 0, i))], stream_alerts.SLOTS)
+        df.coalesce(1).write.mode("append").parquet(str(slots))
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(asked))
+        stream_alerts.watch(
+            spark.readStream.schema(stream_alerts.SLOTS).parquet(str(slots)), known, registry, root,
+            lambda: F.lit("2024-01-15").cast("timestamp"), spark.readStream.schema(schema).parquet(str(asked)),
+        ).awaitTermination()
+    sent = [{r["id"] for r in spark.read.parquet(f"{root}/sent/version={n}").collect()} for n in range(2)]
+    assert sent == [{"a"}, {"b"}]
+    left = {r["id"]: r["start_date"] for r in spark.read.parquet(f"{root}/alerts/version=1").collect()}
+    assert left == {"a": day, "b": day, "e": None}
