@@ -11,6 +11,7 @@ NOT_A_SUMMIT = r"(?i)stairway|stairs|gap|notch|chute|steps?(?:\s|$)|bench|ledge|
 # Miles and degrees.
 SHORTEST_SEGMENT_MI = 0.001
 BOUNDARY_DEG = 0.005
+WAY_PIECES = 10_000  # numbers kept for the pieces of one way
 
 
 # --- classification -------------------------------------------------------
@@ -299,7 +300,7 @@ def segments_from(subs: DataFrame, way_info: DataFrame) -> DataFrame:
         .join(way_info.select("region_id", "way_id", "way_no", "name", "sac_scale"), ["region_id", "way_id"])
         .select(
             "region_id",
-            (F.col("way_no") * 10000 + F.col("sub")).alias("seg_id"),
+            piece_id(F.col("way_no"), F.col("sub")).alias("seg_id"),
             "way_id",
             "sub",
             "name",
@@ -328,6 +329,13 @@ def degree(segments: DataFrame) -> DataFrame:
     )
 
 
+def piece_id(way_no: Column, sub: Column) -> Column:
+    """Number of a way's piece; a way with more pieces than fit ends the job instead of taking its neighbour's numbers."""
+    return F.when(sub < WAY_PIECES, way_no * WAY_PIECES + sub).otherwise(
+        F.raise_error(F.lit(f"a way has {WAY_PIECES} pieces or more")).cast("long")
+    )
+
+
 def boundary_nodes(segments: DataFrame, nodes: DataFrame, bbox: DataFrame, tolerance: float = BOUNDARY_DEG) -> DataFrame:
     """Dead ends close to an edge of the query box of their region."""
     gap = F.least(
