@@ -228,14 +228,38 @@ def set3(spark, sf):
     return sets.select(F.col("set_id").alias("way_id"), geo.round_to(loops.iou(F.col("items"), first), 3).alias("overlap"))
 
 
-@query("gr8")
-def gr8(spark, sf):
-    sets = node_sets(spark, sf)
-    ranked = sets.select(
+def _families_sql(threshold: float) -> str:
+    """Sets one after the other, largest first, each with the list of the leaders so far."""
+    return f"""
+    with recursive t as (select distinct region_id, way_id, node_id from way_nodes),
+    s as (select region_id, way_id, list(node_id) as items, count(*) as n from t group by 1, 2),
+    r as (select *, row_number() over (partition by region_id order by n desc, way_id) as pos from s),
+    walk(region_id, pos, leaders, loop_id, leader_id) as (
+      select region_id, pos, [struct_pack(w := way_id, i := items)], way_id, way_id from r where pos = 1
+      union all
+      select region_id, pos, case when hit is null then list_append(leaders, struct_pack(w := way_id, i := items)) else leaders end, way_id, coalesce(hit, way_id) from (
+        select r.region_id, r.pos, w.leaders, r.way_id, r.items, list_filter(w.leaders, lambda l:
+            cast(len(list_intersect(l.i, r.items)) as double) / (len(l.i) + len(r.items) - len(list_intersect(l.i, r.items))) > {threshold}e0)[1].w as hit
+        from walk w join r on r.region_id = w.region_id and r.pos = w.pos + 1) x)
+    select region_id, loop_id, leader_id from walk"""
+
+
+def _ranked(spark, sf):
+    return node_sets(spark, sf).select(
         "region_id", F.col("set_id").alias("loop_id"), F.col("items").alias("seg_ids"),
         F.struct((-F.size("items")).alias("a"), F.col("set_id").alias("b")).alias("rank"),
     )
-    return loops.loop_families(ranked, 0.3).select("region_id", "loop_id", "leader_id")
+
+
+@query("gr8", _families_sql(loops.SIMILARITY))
+def gr8(spark, sf):
+    return loops.loop_families(_ranked(spark, sf)).select("region_id", "loop_id", "leader_id")
+
+
+@query("gr8_loose", _families_sql(0.3))
+def gr8_loose(spark, sf):
+    """At a lower overlap, where families are larger."""
+    return loops.loop_families(_ranked(spark, sf), 0.3).select("region_id", "loop_id", "leader_id")
 
 
 @query(

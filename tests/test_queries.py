@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from cairn.plans import catalog
 from cairn.plans.views import TABLES
 from tools.check import norm
 
@@ -34,4 +35,5 @@ def test_query(spark, duck, name):
 def test_contract():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries)
-    assert set(queries) - set(oracles) == {"fn23", "gr1", "gr2", "gr8", "gr10"}
+    own = {n for n in queries if n not in catalog.QUERIES}
+    assert set(queries) - set(oracles) - own == {"fn23", "gr1", "gr2", "gr10"}
