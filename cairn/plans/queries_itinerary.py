@@ -217,7 +217,19 @@ def fn23(spark, sf):
     from cairn.plans.queries_scoring import prefs
 
     routes = it.request_routes(picks(spark, sf), clusters(spark, sf))
-    return it.prompt_documents(prefs(spark, sf).withColumnRenamed("pref_id", "request_id"), routes)
+    k = F.col("request_id")
+    wishes = (
+        prefs(spark, sf)
+        .withColumnRenamed("pref_id", "request_id")
+        .withColumns({
+            "experience": F.when(k % 3 == 0, "beginner").when(k % 3 == 1, "experienced"),
+            "group_type": F.when(k % 2 == 0, "couple").otherwise("friends"),
+            "avoid": F.when(k % 4 == 1, F.array(F.lit("snow"), F.lit("fords"))),
+            "priorities": F.array(F.element_at(F.array(F.lit("swimming"), F.lit("views")), (k % 2 + 1).cast("int"))),
+            "notes": F.when(k % 5 == 0, F.concat(F.lit("request "), k.cast("string"))),
+        })
+    )
+    return it.prompt_documents(wishes, routes, q.BANNED_WORDS)
 
 
 # --- day figures -----------------------------------------------------------
