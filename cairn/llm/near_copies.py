@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.llm.common import slices
 from cairn.llm.links import least_reachable
@@ -34,14 +34,21 @@ from cairn.session import Stages
 BANDS, ROWS = 64, 8
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.06, 4.0, 254
-MARGIN = 0.15  # six standard errors of the estimate at 512 registers, rounded up
+MARGIN = 0.09  # five standard errors of the estimate at 512 registers
+STAR_BANDS = 16  # bands whose heads are met first; all bands count for what is left open
+TRIES = 4  # heads that a document is compared with first; what they leave open is compared in full
 PERCENT = 80
+WORDS = [f"s{i}" for i in range(REGISTERS // 64)]  # the lowest bits of all registers
+FINE = 4096  # further minima, of which one bit is kept, for documents with open questions
+FINE_WORDS = [f"f{i}" for i in range(FINE // 64)]
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
 _RANDOM = np.random.default_rng(20260112)
 _FACTORS = _RANDOM.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
 _SHIFTS = _RANDOM.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
+_MORE_FACTORS = _RANDOM.integers(0, 1 << 32, FINE, dtype=np.uint32) | np.uint32(1)
+_MORE_SHIFTS = _RANDOM.integers(0, 1 << 32, FINE, dtype=np.uint32)
 _R = 0x9E3779B97F4A7C15
 
 
@@ -83,16 +90,24 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.unique(joined)
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
-    """The SetSketch of a set of hashes, one byte for each register."""
-    low = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
+def minima(hashes: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """The least value of a set in each of many random orders."""
+    low = np.full(len(factors), 0xFFFFFFFF, np.uint32)
     folded = (hashes >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(folded), 128):
-        # the product's high half would need 64 bits: the low half is mixed once more
-        x = folded[at : at + 128, None] * _FACTORS + _SHIFTS
+    rows = max(1, (1 << 16) // len(factors))
+    for at in range(0, len(folded), rows):
+        # the product's low half is mixed once more, its high half would need 64 bits
+        x = folded[at : at + rows, None] * factors
+        x += shifts
         x ^= x >> np.uint32(15)
         x *= np.uint32(0x2C1B3C6D)
         np.minimum(low, x.min(axis=0), out=low)
+    return low
+
+
+def registers(hashes: np.ndarray) -> np.ndarray:
+    """The SetSketch of a set of hashes, one byte for each register."""
+    low = minima(hashes, _FACTORS, _SHIFTS)
     least = -np.log1p(-(low.astype(np.float64) + 0.5) / 2.0**32) / RATE
     return np.clip(np.floor(1 - np.log(least) / np.log(BASE)), 0, TOP + 1).astype(np.uint8)
 
@@ -119,48 +134,77 @@ def likeness(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n_shingles, same_a, same_b, registers``: equal sets agree in both numbers."""
+    """``doc_id, n_shingles, same_a, same_b, registers, s0..s7``: equal sets agree in both numbers."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            counts, one, two, regs = [], [], [], []
+            counts, one, two, regs, low = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingle_hashes(text, size)
                 counts.append(len(found))
                 one.append(int(_mix(found).sum(dtype=np.uint64).astype(np.int64)))
                 two.append(int(_mix(found * np.uint64(_R) + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)))
-                regs.append(registers(found).tobytes() if len(found) else None)
+                own = registers(found)
+                regs.append(own.tobytes() if len(found) else None)
+                low.append(np.packbits(own & 1).view("<i8"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(regs, pa.binary())],
-                ["doc_id", "n_shingles", "same_a", "same_b", "registers"],
+                [batch.column(0), *[pa.array(c, pa.int64()) for c in (counts, one, two)], pa.array(regs, pa.binary()), *map(pa.array, np.array(low).T)],
+                ["doc_id", "n_shingles", "same_a", "same_b", "registers", *WORDS],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        sketch, "doc_id long, n_shingles long, same_a long, same_b long, registers binary"
+        sketch, "doc_id long, n_shingles long, same_a long, same_b long, registers binary, " + ", ".join(f"{w} long" for w in WORDS)
     )
 
 
+def near_enough(percent: int, a: str, b: str, words: list[str] = WORDS, errors: float = 5) -> Column:
+    """Whether sizes and kept bits allow a pair to be linked.
+
+    Unequal minima differ in their bit half of the time. The bound lies some
+    standard errors above what the least linked likeness gives.
+    """
+    p, n = (1 - percent / 100) / 2, 64 * len(words)
+    most = int(n * p + errors * (n * p * (1 - p)) ** 0.5) + 1
+    sizes = 100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n")
+    return sizes & (unlike_bits(a, b, words) <= most)
+
+
+def unlike_bits(a: str, b: str, words: list[str] = WORDS) -> Column:
+    return sum((F.bit_count(F.col(a + w).bitwiseXOR(F.col(b + w))) for w in words), F.lit(0))
+
+
+def fine_bits(docs: DataFrame, size: int) -> DataFrame:
+    """``doc_id, f0..f63``: one bit of each of ``FINE`` minima."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            bits = [np.packbits(minima(shingle_hashes(t, size), _MORE_FACTORS, _MORE_SHIFTS) & 1).view("<i8") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, np.array(bits).T)], ["doc_id", *FINE_WORDS])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, "doc_id long, " + ", ".join(f"{w} long" for w in FINE_WORDS))
+
+
 def sets(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, members``: the sorted hashes of a set, 8 bytes each."""
+    """``doc_id, members``: the distinct hashes of a set."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = [shingle_hashes(t, size).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "members"])
+        for batch in slices(batches, 128):
+            found = [shingle_hashes(t, size).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "members"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(gather, "doc_id long, members binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(gather, "doc_id long, members array<long>")
 
 
 def bands(kept: DataFrame) -> DataFrame:
-    """``band, doc_id, n``: one row for each band of a document's registers."""
+    """``band, k, doc_id``: one row for each band of a document's registers."""
     starts = F.sequence(F.lit(0), F.lit(BANDS - 1))
-    return kept.select("doc_id", F.col("n_shingles").alias("n"), "registers", F.explode(starts).alias("k")).select(
-        F.xxhash64("k", F.substring("registers", F.col("k") * ROWS + 1, F.lit(ROWS))).alias("band"), "doc_id", "n"
+    return kept.select("doc_id", "registers", F.explode(starts).alias("k")).select(
+        F.xxhash64("k", F.substring("registers", F.col("k") * ROWS + 1, F.lit(ROWS))).alias("band"), "k", "doc_id"
     )
 
 
 def confirmed(pairs: DataFrame, kept: DataFrame, docs: DataFrame, size: int, percent: int, stages: Stages) -> DataFrame:
-    """The pairs ``a, b`` whose sets are alike enough: first by likelihood, then by the full sets."""
+    """The pairs ``a, b`` whose sets are alike enough: first by the likelihood of both sketches, then by the full sets."""
     floor = percent / 100 - MARGIN
 
     def likely(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,34 +215,26 @@ def confirmed(pairs: DataFrame, kept: DataFrame, docs: DataFrame, size: int, per
                 j = likeness(x, y, p["na"].to_numpy(float), p["nb"].to_numpy(float))
                 yield p.loc[j >= floor, ["a", "b"]]
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
     side = lambda c: kept.select(F.col("doc_id").alias(c), F.col("registers").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}"))
     candidates = stages.cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(likely, "a long, b long"))
-    ids = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = candidates.select(F.col("a").alias("doc_id")).unionByName(candidates.select(F.col("b").alias("doc_id"))).distinct()
     full = stages.cut(sets(docs.join(ids, "doc_id", "left_semi"), size))
     return (
         candidates.join(full.select(F.col("doc_id").alias("a"), F.col("members").alias("ma")), "a")
         .join(full.select(F.col("doc_id").alias("b"), F.col("members").alias("mb")), "b")
-        .select("a", "b", "ma", "mb")
-        .mapInArrow(alike, "a long, b long")
+        .withColumn("both", F.size(F.array_intersect("ma", "mb")))
+        .filter(100 * F.col("both") >= percent * (F.size("ma") + F.size("mb") - F.col("both")))
+        .select("a", "b")
     )
 
 
 def near_copies(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every distinct doc_id.
 
-    First every member of a band's bucket meets the least id there. What these
-    links join is one component; then only members of different components of
-    a bucket meet, so that no link between components is lost.
+    First every member of a band's bucket meets the heads of its buckets, and
+    the most alike of them are verified. What these links join is one component;
+    then only members of different components of a bucket meet, so that no link
+    between components is lost.
     """
     stages = Stages(docs.sparkSession)
     every = stages.cut(sketches(docs, size))
@@ -207,31 +243,49 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataF
     kept = stages.cut(
         every.filter("n_shingles > 0").join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     )
-    rows = stages.cut(bands(kept))
-    heads = rows.groupBy("band").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    shared = stages.cut(rows.join(heads.select("band", "head"), "band"))
-    sizes = kept.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"))
-    stars = (
-        shared.filter("doc_id <> head")
-        .select(F.col("head").alias("a"), F.col("doc_id").alias("b"), F.col("n").alias("nb"))
+    rows = bands(kept)
+    several = rows.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("band")
+    shared = stages.cut(rows.join(several, "band", "left_semi"))
+    # three heads for each bucket: its least and greatest id, and one that differs from bucket to bucket
+    heads = shared.groupBy("band").agg(
+        F.array(F.min("doc_id"), F.max("doc_id"), F.min(F.struct(F.xxhash64("band", "doc_id"), "doc_id"))["doc_id"]).alias("heads")
+    )
+    brief = lambda side: kept.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"{side}n"), *[F.col(w).alias(side + w) for w in WORDS])
+    best = Window.partitionBy("b").orderBy("unlike", "a")
+    stars = stages.cut(
+        shared.filter(F.col("k") < STAR_BANDS)
+        .join(heads, "band")
+        .select(F.col("doc_id").alias("b"), F.explode("heads").alias("a"))
+        .filter("a <> b")
+        .distinct()
+        .join(brief("a"), "a")
+        .join(brief("b"), "b")
+        .filter(near_enough(percent, "a", "b"))
+        .select("a", "b", unlike_bits("a", "b").alias("unlike"))
+        .withColumn("place", F.row_number().over(best))
+        .filter(F.col("place") <= TRIES)
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
-        .join(sizes, "a")
-        .filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        .select("a", "b")
     )
     first = stages.cut(confirmed(stars, kept, docs, size, percent, stages))
     labels = least_reachable(first, stages)
     marked = (
         shared.join(labels.select(F.col("node").alias("doc_id"), "least"), "doc_id", "left")
-        .select("band", "doc_id", "n", F.coalesce("least", "doc_id").alias("label"))
+        .select("band", "k", "doc_id", F.coalesce("least", "doc_id").alias("label"))
     )
     mixed = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
     open_ = stages.cut(marked.join(mixed, "band", "left_semi"))
-    x, y = (open_.select("band", *[F.col(c).alias(f"{c}{s}") for c in ("doc_id", "n", "label")]) for s in "xy")
+    ids = stages.cut(open_.select("doc_id").distinct())
+    fine = fine_bits(docs.join(ids, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"])
+    facts = stages.cut(kept.select("doc_id", F.col("n_shingles").alias("n"), "registers").join(fine, "doc_id"))
+    side = lambda s: open_.join(facts, "doc_id").select("band", "k", *[F.col(c).alias(s + c) for c in ("doc_id", "label", "n", "registers", *FINE_WORDS)])
+    part = lambda c, k: F.substring(c, k * ROWS + 1, F.lit(ROWS))
+    x, y = side("x"), side("y").drop("k")
+    # two documents may share many bands: the first one tells
+    known = F.exists(F.sequence(F.lit(0), F.col("k")), lambda k: (k < F.col("k")) & (part(F.col("xregisters"), k) == part(F.col("yregisters"), k)))
     across = (
-        x.join(y, "band")
-        .filter(f"labelx < labely and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-        .select(F.least("doc_idx", "doc_idy").alias("a"), F.greatest("doc_idx", "doc_idy").alias("b"))
+        x.join(y, (x["band"] == y["band"]) & (F.col("xlabel") < F.col("ylabel")) & near_enough(percent, "x", "y", FINE_WORDS, 4.5) & ~known)
+        .select(F.least("xdoc_id", "ydoc_id").alias("a"), F.greatest("xdoc_id", "ydoc_id").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
