@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-CACHE_PIECES = 1_000_000  # pieces a worker remembers before it starts anew; ids do not depend on it
+CACHE_PIECES = 200_000  # pieces of one generation in a worker's cache; ids do not depend on it
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _SIGNS = r"!-&(-/:-@\[-`{-~"
 _UNUSUAL = rf"[^{_LETTERS}{_SIGNS}0-9 \n]|  |\n\n| \n|\n "
@@ -37,7 +37,9 @@ class Encoder:
         self.between = next(s for s in ("\n", " 7 ") if len(self._ids("a" + s + "b")) == 3)
         self.mark = self._ids("a" + self.between + "b")[1]
         self.blanks_count = self._ids("a b") != self._ids("a\nb")
+        # pieces met lately, and those of the generation before
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -68,7 +70,10 @@ class Encoder:
         known = self.pieces
         found = list(map(known.get, pieces))
         if None in found:
-            self._learn([p for p, f in zip(pieces, found) if f is None])
+            missing = [p for p, f in zip(pieces, found) if f is None]
+            again = list(map(self.older.get, missing))
+            known.update((p, f) for p, f in zip(missing, again) if f is not None)
+            self._learn([p for p, f in zip(missing, again) if f is None])
             found = list(map(known.__getitem__, pieces))
         return found
 
@@ -106,7 +111,7 @@ class Encoder:
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each closed by ``end_id``, and the number of ids of each."""
         if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
+            self.older, self.pieces = self.pieces, {}
         texts = pc.fill_null(texts, "")
         end = b"" if end_id is None else self._bytes([end_id])
         odd = pc.match_substring_regex(texts, "|".join([_UNUSUAL, *map(re.escape, self.specials)]))

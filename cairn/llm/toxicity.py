@@ -36,11 +36,25 @@ REJECT = 0.7
 FOLDS, HELD_OUT = 3, 1
 
 # fixed values: function words that the grammar knows
-TARGETS = "you your yours yourself he she they them him her du dich dir ihr euch sie tu te toi vous il elle ils usted ustedes ellos ella".split()
-NEGATIONS = "not no never nor isn't aren't nicht kein keine nie pas jamais aucun nunca ni".split()
-REPORTS = "said says say called calls quoted wrote sagte sagt nannte dit disait dijo dice".split()
-THREATS = "kill hurt destroy murder shoot beat töten schlagen tuer frapper matar golpear".split()
-LINKS = "a an the is are was were be such so ein eine der die das un une le la el los que est es".split()
+TARGETS = [
+    "you", "your", "yours", "yourself", "he", "she", "they", "them", "him", "her", "du", "dich", "dir", "ihr", "euch",
+    "sie", "tu", "te", "toi", "vous", "il", "elle", "ils", "usted", "ustedes", "ellos", "ella",
+]
+NEGATIONS = [
+    "not", "no", "never", "nor", "isn", "aren", "nicht", "kein", "keine", "nie", "pas", "jamais", "aucun",
+    "nunca", "ni",
+]
+REPORTS = [
+    "said", "says", "say", "called", "calls", "quoted", "wrote", "sagte", "sagt", "nannte", "dit", "disait", "dijo",
+    "dice",
+]
+THREATS = [
+    "kill", "hurt", "destroy", "murder", "shoot", "beat", "töten", "schlagen", "tuer", "frapper", "matar", "golpear",
+]
+LINKS = [
+    "a", "an", "the", "is", "are", "was", "were", "be", "such", "so", "ein", "eine", "der", "die", "das", "un", "une",
+    "le", "la", "el", "los", "que", "est", "es", "t",
+]
 
 TARGETED, NEGATED, REPORTED, THREAT = 1.25, 0.5, 0.7, 3.0
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
@@ -56,7 +70,7 @@ class Weights(dict):
         self.lexicon = lexicon
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         found = self.lexicon.get(word, 0.0)
         for n in PREFIXES:

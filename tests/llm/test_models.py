@@ -140,7 +140,7 @@ def test_clauses():
     assert told("A fool.") == [4.0] and told("you fool") == [5.0] and told("not a fool") == [2.0]
     assert told("he said fool!") == pytest.approx([4 * 1.25 * 0.7]) and told("cloddish; fool") == [3.0, 4.0]
     assert told("not here, a fool") == [4.0] and told("i kill you") == [3.75] and told("kill time") == []
-    assert told("") == [] and told("clod") == []
+    assert told("") == [] and told("clod") == [] and told("isn't a fool") == [2.0]
 
 
 def test_toxicity(spark, documents):
