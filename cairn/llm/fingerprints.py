@@ -25,6 +25,7 @@ GAPS = r"[\s\p{Punct}]+"
 HEX = 32  # hex digits of a fingerprint
 FIRST = -(1 << 63)  # stands for a missing doc_id, before all others
 BLOCKS = 6
+RANGES = 4096  # at most so many ranges of ids, as their bounds are part of the plan
 
 
 def distinct_words(text: Column) -> Column:
@@ -71,7 +72,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     """
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), order.alias("o"))
-    n = 2 * partitions(docs.sparkSession)
+    n = min(RANGES, 2 * partitions(docs.sparkSession))
     cuts = rows.agg(F.percentile_approx("o", [i / n for i in range(1, n)], 10000)).first()[0] if n > 1 else []
     cuts = sorted(set(cuts or []))
     bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("o"))) if cuts else F.lit(0)
