@@ -29,7 +29,7 @@ PREF_COLUMNS = ["days", "miles_per_day", "tolerance", "scenery", "crowd"]
 
 
 def _clamp(x: Column, lo: float = 0.0, hi: float = 100.0) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
+    return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
 
 
 def mileage_fit(miles: Column, days: Column, target: Column) -> Column:
@@ -47,7 +47,7 @@ def _band(tolerance: Column, part: int) -> Column:
 
 def elevation_fit(gain_ft: Column, days: Column, tolerance: Column) -> Column:
     away = F.abs(F.try_divide(gain_ft, days) - _band(tolerance, 0)) / (_band(tolerance, 1) + BAND_SLACK_FT)
-    return half_up(100.0 * F.greatest(F.lit(0.0), 1.0 - away * away))
+    return half_up(100.0 * F.when(away.isNotNull(), F.greatest(F.lit(0.0), 1.0 - away * away)))
 
 
 def scenery_counts(types: Column) -> Column:

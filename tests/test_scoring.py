@@ -114,3 +114,14 @@ def test_same_answer_for_equal_preferences(spark):
     every = scoring.per_traveller(prefs, scored)
     assert every.count() == 250
     assert every.groupBy("route_id").agg(F.count_distinct("score").alias("n")).filter("n > 1").count() == 0
+
+
+def test_one_bad_traveller_among_good_ones(spark):
+    """No days or no miles a day: no score and no picks for that traveller, and none lost for the others."""
+    people = [BASE_P, {**BASE_P, "pref_id": 2, "days": 0}, {**BASE_P, "pref_id": 3, "miles_per_day": 0.0}]
+    prefs, routes = spark.createDataFrame(people, PREF), spark.createDataFrame([BASE_R, {**BASE_R, "route_id": 2, "center_lat": 38.9}], ROUTE)
+    scored = scoring.per_traveller(prefs, scoring.score_routes(prefs, routes))
+    told = {(r["pref_id"], r["route_id"]): r["score"] for r in scored.collect()}
+    assert len(told) == 6 and all((score is None) == (who != 1) for (who, _), score in told.items())
+    picks = ranking.diverse_top(scored, key="pref_id").select("pref_id").collect()
+    assert [r[0] for r in picks] == [1, 1]
