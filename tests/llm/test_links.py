@@ -196,3 +196,23 @@ def test_lines(documents):
     }
     assert (got[8].n_links, got[11].n_links, got[11].n_gone, got[7].n_links) == (1, 2, 2, 0)
     assert lines.judged(docs.limit(0)).count() == 0
+
+
+def test_short_lines(documents):
+    texts = ["Les.\nan own line of the first document", "Les.\n\n  \nAnd ornd.", "And ornd!\n\n  \nles.", "And ornd.", "x\nx"]
+    docs = documents(texts, [5, 6, 7, 8, 9])
+    got = {r.doc_id: (r.n_lines, r.n_links, r.n_gone, r.emptied) for r in lines.judged(docs, shortest=1).collect()}
+    assert got == {5: (2, 0, 0, False), 6: (2, 0, 1, False), 7: (2, 0, 0, False), 8: (1, 0, 1, True), 9: (2, 0, 1, False)}
+    gone, _ = lines.repeated(docs, shortest=1)
+    left = {r.doc_id: r.text for r in lines.without_lines(docs, gone).collect()}
+    assert left == {5: texts[0], 6: "\n  \nAnd ornd.", 7: texts[2], 8: "", 9: "x"}
+
+
+def test_short_lines_of_the_query_and_the_stage(spark, tmp_path, documents):
+    import __spark_entry__ as entry
+    import corpus_pipeline
+
+    documents(["Les.\nown words of the first text", "Les.\nother words of the second one"], [1, 2]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_gone for r in entry.queries()["op9_line_dedup"](spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
+    kept = corpus_pipeline.drop_repeated_lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {r.doc_id: r.text.split("\n")[0] for r in kept.collect()} == {1: "Les.", 2: "other words of the second one"}
