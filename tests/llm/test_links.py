@@ -1,3 +1,4 @@
+import random
 import re
 from itertools import combinations
 
@@ -216,3 +217,37 @@ def test_short_lines_of_the_query_and_the_stage(spark, tmp_path, documents):
     assert {r.doc_id: r.n_gone for r in entry.queries()["op9_line_dedup"](spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
     kept = corpus_pipeline.drop_repeated_lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert {r.doc_id: r.text.split("\n")[0] for r in kept.collect()} == {1: "Les.", 2: "other words of the second one"}
+
+
+def edited(source, line, edits):
+    """The line after so many edits of single characters at random places."""
+    line = list(line)
+    for _ in range(edits):
+        k = source.randrange(len(line))
+        line[k : k + source.randint(0, 1)] = source.choice(["", "x", "é", "1"])
+    return "".join(line)
+
+
+def test_pieces_of_long_lines_meet():
+    source = random.Random(3)
+    for n in (150, 199, 320, 1000):
+        for _ in range(60):
+            a = "".join(source.choice("abc d") for _ in range(n))
+            b = edited(source, a, lines.bound(n, 2))
+            a, b = sorted((a, b), key=len, reverse=True)
+            own, at, h = lines.pieces(["ab", a, "", b], lines.common_run(2))
+            one, other = ({(int(k), int(p)) for o, p, k in zip(own, at, h) if o == i} for i in (1, 3))
+            assert set(own) <= {1, 3} and any(k == m and abs(p - q) <= lines.bound(n, 2) for k, p in one for m, q in other)
+
+
+def test_bound_grows_with_the_line(documents):
+    source = random.Random(4)
+    words = [f"{''.join(source.choice('abcdefgh') for _ in range(source.randint(2, 9)))}" for _ in range(400)]
+    texts = []
+    for n in [8, 20, 30, 60, 100]:
+        line = " ".join(source.choice(words) for _ in range(n))
+        texts += [line, *(edited(source, line, k) for k in (1, 3, len(line) // 50, len(line) // 50 + 2))]
+    got = {r.doc_id: r.n_links for r in lines.judged(documents(texts)).collect()}
+    near = lambda a, b: a != b and distance(a, b) <= max(2, max(len(a), len(b)) // 50)
+    want = {i: sum(near(a, b) for b in set(texts) if abs(len(a) - len(b)) < 60) for i, a in enumerate(texts)}
+    assert got == want and sum(want.values()) > 20
