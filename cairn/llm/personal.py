@@ -1,7 +1,8 @@
 """Personal data: exact base patterns, and a semi-Markov CRF that adds spans.
 
 The base finds e-mail addresses, IP addresses, card and phone numbers. Around
-marks that the base leaves open (digits, hex keys, spelt-out addresses) the
+marks that the base leaves open (digits, also in groups, long mixed or hex words,
+what follows the name of a secret, spelt-out addresses) the
 semi-Markov model scores whole candidate segments of up to ``LONGEST`` tokens:
 their shape, digit and letter counts, checksum, octets and the word before.
 Dynamic programming picks boundaries and kinds of a window together.
@@ -34,7 +35,8 @@ KINDS = (*BASE, "secret")
 LABELS = ("other", *KINDS)
 WINDOWS = 300
 AROUND = 6  # tokens on either side of a mark
-LONGEST = 8
+LONGEST = 12
+GROUPED = 6  # digits of groups that make a mark together
 EPOCHS, STEP = 6, 0.5
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -42,7 +44,10 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DIGITS = re.compile(r"[0-9]+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"\w(?:[\w.%+@-]*\w)?|[^\w\s]")
-_SPELT = re.compile(r"[ (\[](?:at|dot)[ )\]]")
+_SPELT = re.compile(r"(?i)[\s(\[{](?:at|dot)[\s)\]}]")
+_GAP = re.compile(r"[^\w\n]{1,3}")
+_LONG = re.compile(r"[A-Za-z0-9_/+-]{16,}")
+_NAMED = re.compile(r"(?i)\b(?:token|key|secret|password)[\"']?\s*[=:]\s*[\"']?\S+")
 _KEYED = re.compile(r"\b(?:token|key|secret|password)\s*[=:]\s*[\"']?([A-Za-z0-9_/+-]{16,})")
 
 Span = tuple[int, int, str]
@@ -121,7 +126,7 @@ def span_features(part: str, before: str, tokens: int) -> tuple[str, ...]:
         found.append("mixed")
     if re.fullmatch(r"[0-9]{1,9}(\.[0-9]{1,9}){3}", part):
         found.append(f"octets {all(int(p) <= 255 for p in part.split('.'))}")
-    if "@" in part or re.search(r"\bat\b.*\bdot\b", part):
+    if "@" in part or re.search(r"(?i)\bat\b.*\bdot\b|\bdot\b.*(?:\bat\b|@)", part):
         found.append("address")
     if 10 <= len(digits) <= 15 and re.fullmatch(r"[+0-9(). -]+", part):
         found.append(f"dial {part[0] == '+'} {part[0] == '('}")
@@ -243,18 +248,29 @@ def windows(text: str, marks: list[tuple[int, int]]) -> list[list[tuple[int, int
 
 
 def open_marks(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Digits and spelt-out signs that no base span covers."""
+    """Digits, long words, named secrets and spelt-out signs that no base span covers."""
     taken = iter(sorted((s, e) for s, e, _ in base))
     now = next(taken, None)
-    marks = []
+    marks, groups = [], []
     for m in _DIGITS.finditer(text):
         while now and now[1] <= m.start():
             now = next(taken, None)
-        if not (now and now[0] <= m.start()) and m.end() - m.start() >= 3:
+        if now and now[0] <= m.start():
+            continue
+        if m.end() - m.start() >= 3:
             marks.append(m.span())
-    if " dot " in text or "(at)" in text:
-        marks += [m.span() for m in _SPELT.finditer(text)]
-    return marks
+        if groups and _GAP.fullmatch(text, groups[-1][1], m.start()):
+            groups[-1] = (groups[-1][0], m.end(), groups[-1][2] + m.end() - m.start())
+        else:
+            groups.append((*m.span(), m.end() - m.start()))
+    marks += [(s, e) for s, e, n in groups if n >= GROUPED]
+    for m in _LONG.finditer(text):
+        letters = sum(map(str.isalpha, m[0]))
+        if letters and any(map(str.isdigit, m[0])) or re.fullmatch(r"[0-9A-Fa-f]+", m[0]):
+            marks.append(m.span())
+    marks += [m.span() for m in _NAMED.finditer(text)]
+    marks += [m.span() for m in _SPELT.finditer(text)]
+    return [m for m in marks if not any(s <= m[0] and m[1] <= e for s, e, _ in base)]
 
 
 def all_spans(text: str, base: list[Span], model: SemiCrf) -> list[Span]:
@@ -279,10 +295,15 @@ def _examples(texts: list[str]) -> Iterator[tuple[str, list[Span]]]:
             ways = [(part, kind)]
             if kind == "email" and "." in part:
                 user, _, host = part.partition("@")
-                ways.append((f"{user.strip('.') or 'a'} at {' dot '.join(host.split('.'))}", kind))
+                name = user.strip(".") or "a"
+                for at, dot in ((" at ", " dot "), (" [at] ", " [dot] "), (" AT ", " DOT "), ("(at)", "(dot)")):
+                    ways.append((f"{name}{at}{dot.join(host.split('.'))}", kind))
+                ways.append((f"{'(dot)'.join(name.split('.')) if '.' in name else name + '(dot)a'} @ {host.split('.')[0]}", kind))
                 left = left if left[-1:].isspace() or not left else left + " "
             elif kind == "phone":
                 ways.append((part[part.find("(") :] if "(" in part else part[1:], kind))
+                digits = re.sub(r"[^0-9]", "", part)[-9:]
+                ways.append((" ".join(re.findall("..", "0" + digits)), kind))
             elif kind == "card":
                 ways += [(part[:-1] + str((int(part[-1]) + 1) % 10), "other"), (part[:5] + part[-3:], "other")]
             elif kind == "ip":

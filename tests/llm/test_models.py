@@ -166,3 +166,37 @@ def test_toxicity(spark, documents):
     assert kept.columns == [*docs.columns, "score"] and kept.count() == 252
     assert {r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
+OPEN = [
+    "write jane [at] example [dot] com soon", "write jane(dot)doe @ example soon", "write Jane AT example DOT com soon", "please call 06 12 34 56 78 today",
+    "password: xK9dLmQ2wZtRb7YpVn", 'token = "bbad1ecab5a43ebe9e8f8ce17ceff21e10f09c08"', "jane at example.com", "the digest abcdefabcdefabcdefab of it",
+]
+
+
+@pytest.mark.parametrize("text", OPEN)
+def test_open_marks_of_all_kinds(text):
+    marks = personal.open_marks(text, personal.base_spans(text))
+    assert marks and personal.windows(text, marks)
+
+
+def test_marks_leave_base_spans_alone():
+    for text in ("4111111111111111", "+1 (415) 555-0100", "a@mail.example.com", "10.20.30.40", "1 2 3", "none of them here"):
+        assert not personal.open_marks(text, personal.base_spans(text)), text
+
+
+def test_all_planted_secrets_are_found(spark, documents):
+    source = random.Random(18)
+    words = "the of and to in that is was for with".split()
+    prose = lambda: " ".join(source.choice(words) for _ in range(12))
+    key = lambda: "".join(source.choice("0123456789abcdef") for _ in range(40))
+    broken = lambda: "".join(source.choice("abcdef") + (source.choice("0123456789abcdef") if i % 2 else source.choice("abcdef")) for i in range(20))
+    keys = [key() if i % 2 else broken() for i in range(60)]
+    texts = [f'{prose()} token = "{k}" {prose()} +1 (415) 555-{source.randint(1000, 9999)} {prose()} 10.{source.randint(0, 255)}.3.4 {prose()} a{source.randint(1, 99)}@mail.example.com {prose()} 4111111111111111 {prose()}' for k in keys]
+    texts += OPEN[:6]
+    docs = documents(texts)
+    rows = personal.personal_data(docs, personal.fit(docs)).collect()
+    found = [[(x.kind, text[x.start : x.end]) for x in r.found if not x.base] for r, text in zip(rows, texts)]
+    missed = [k for k, f in zip(keys, found) if ("secret", k) not in f]
+    print(len(missed), found[60:])
+    assert not missed
