@@ -1,5 +1,6 @@
 """Queries over token ids."""
 
+from cairn.llm import pieces
 from cairn.llm.common import table
 from cairn.llm.packing import pack_documents
 from cairn.llm.registry import query
@@ -17,3 +18,8 @@ def op7(spark, sf_dir):
     out = f"{Stages(spark).root}/tokens"
     write_token_files(table(spark, sf_dir, "documents"), out)
     return read_token_files(spark, out)
+
+
+@query("op13_sentencepiece")
+def op13(spark, sf_dir):
+    return pieces.digest(pieces.decoded(pieces.encoded(table(spark, sf_dir, "documents"))))
