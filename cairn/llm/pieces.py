@@ -4,9 +4,9 @@ A model of the merge type joins neighbouring symbols, best score first and the
 leftmost of equals, until no joined pair is a piece. The result is the one
 sequence in which every two neighbours, merged again from their characters, come
 out as they are. ``Pieces.encode`` looks for this sequence from the left: an
-Aho-Corasick automaton tells the longest piece at every place, a piece is taken
-if it goes with the one before it, else its next shorter prefix is tried, and a
-place that no piece can leave is marked in a bitfield and never entered again.
+Aho-Corasick automaton gives the run of longest pieces, a piece is taken if it goes
+with the one before it, else its next shorter prefix is tried, and a place that no
+piece can leave is marked in a bitfield and never entered again.
 
 No piece holds a blank behind another character, and the line end is no part of
 any piece, so texts are cut there without changing the result, and each worker
@@ -36,8 +36,8 @@ from cairn.llm.tokens import public_file
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 WORD = 64  # longer words are encoded each time they occur
-KEPT_WORDS = 300_000  # words of one generation in a worker's cache; ids do not depend on it
-KEPT_PAIRS = 1_000_000
+KEPT_WORDS = 250_000  # words of one generation in a worker's cache; ids do not depend on it
+KEPT_PAIRS = 1_000_000  # pairs of neighbours whose answer is kept
 
 _PARTS = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n[^{BLANK}\n]*")
 
@@ -61,8 +61,15 @@ class Pieces:
         for piece in reached:
             self.automaton.add_word(piece, len(piece))
         self.automaton.make_automaton()
+        self.widest = max(map(len, reached))
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in reached), "") for p in reached}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        # the longest piece that every beginning of a piece begins with
+        self.inner: dict[str, str] = {}
+        for piece in sorted(reached, key=len):
+            for n in range(1, len(piece)):
+                self.inner.setdefault(piece[:n], self.inner.get(piece[: n - 1], ""))
+            self.inner[piece] = piece
+        self.pairs: dict[tuple[str, str], str] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -79,37 +86,90 @@ class Pieces:
                 return symbols
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
-    def _goes_with(self, left: str, right: str) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == [left, right]
-        return known
+    def _fit(self, left: str, piece: str) -> str:
+        """The longest of a piece and its shorter prefixes that goes with ``left``, else nothing."""
+        tried = []
+        while piece:
+            known = self.pairs.get((left, piece))
+            if known is not None:
+                piece = known
+                break
+            tried.append(piece)
+            if self.merged(left + piece) == [left, piece]:
+                break
+            piece = self.shorter.get(piece, "")
+        if len(self.pairs) >= KEPT_PAIRS:
+            self.pairs.clear()
+        for t in tried:
+            self.pairs[left, t] = piece
+        return piece
+
+    def _run(self, word: str) -> list[str]:
+        """Longest pieces from the left, none of them checked; a character that is no piece stands alone."""
+        run: list[str] = []
+        at = 0
+        for end, length in self.automaton.iter_long(word):
+            start = end - length + 1
+            if at < start:
+                run += word[at:start]
+            at = end + 1
+            run.append(word[start:at])
+        if at < len(word):
+            run += word[at:]
+        return run
+
+    def _longest(self, word: str, at: int) -> str:
+        """The longest piece at a place, by the longest path of the automaton from there."""
+        path = word[at : at + self.widest]
+        path = path[: self.automaton.longest_prefix(path)]
+        return self.inner.get(path) or word[at]
 
     def split(self, word: str) -> list[str]:
         """The pieces of one word; a character that is no piece stands alone."""
-        size = len(word)
-        longest = [1] * size
-        for end, length in self.automaton.iter(word):
-            longest[end - length + 1] = length  # ends ascend, so the last one is the longest
+        known = self.pairs
+        taken = self._run(word)
+        # the run is right up to the first pair that does not go together
+        good, piece = 1, ""
+        while good < len(taken):
+            pair = (taken[good - 1], taken[good])
+            piece = known.get(pair)
+            if piece is None:
+                piece = self._fit(*pair)
+            if piece is not pair[1] and piece != pair[1]:
+                break
+            good += 1
+        if good >= len(taken):
+            return taken
+        del taken[good:]
+        at, size = sum(map(len, taken)), len(word)
         failed = bytearray(size // 8 + 1)
-        taken: list[str] = []
-        at, piece = 0, word[: longest[0]] if size else ""
-        while at < size:
-            to = at + len(piece)
-            if not failed[to >> 3] >> (to & 7) & 1 and (not taken or self._goes_with(taken[-1], piece)):
-                taken.append(piece)
-                at = to
-                piece = word[at : at + longest[at]] if at < size else ""
-                continue
-            piece = self.shorter.get(piece, "")
-            while not piece:  # nothing leads on from here: go back to a shorter piece before it
+        while True:
+            while piece:  # the longest one that fits and leads to a place that is not marked
+                to = at + len(piece)
+                if not failed[to >> 3] >> (to & 7) & 1:
+                    break
+                piece = self.shorter.get(piece, "")
+                if piece and taken:
+                    pair = (taken[-1], piece)
+                    piece = known.get(pair)
+                    if piece is None:
+                        piece = self._fit(*pair)
+            if not piece:  # nothing leads on from here: go back to a shorter piece before it
                 failed[at >> 3] |= 1 << (at & 7)
                 before = taken.pop()
                 at -= len(before)
                 piece = self.shorter.get(before, "")
-        return taken
+            else:
+                taken.append(piece)
+                at = to
+                if at == size:
+                    return taken
+                piece = self._longest(word, at)
+            if piece and taken:
+                pair = (taken[-1], piece)
+                piece = known.get(pair)
+                if piece is None:
+                    piece = self._fit(*pair)
 
     def _word(self, key: str) -> tuple[int, ...]:
         """Ids of a key: blanks and a word, a line end and a word, or a word behind one blank."""
@@ -143,8 +203,9 @@ class Pieces:
         known, keys = self.words, self._keys(text)
         found = list(map(known.get, keys))
         if None in found:
-            for i, (key, ids) in enumerate(zip(keys, found)):
+            for i, ids in enumerate(found):
                 if ids is None:
+                    key = keys[i]
                     ids = known.get(key) or self.older.get(key) or self._word(key)
                     if len(key) <= WORD:
                         known[key] = ids

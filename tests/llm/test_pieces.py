@@ -5,8 +5,7 @@ import random
 
 import pytest
 
-from cairn.llm import pieces
-from cairn.llm.registry import QUERIES
+from cairn.llm import catalog, pieces
 
 
 @pytest.fixture(scope="module")
@@ -57,7 +56,7 @@ def test_rows(spark, documents, model):
 
 def test_query(spark, small, model):
     texts = {r.doc_id: r.text or "" for r in small.collect()}
-    rows = QUERIES["op13_sentencepiece"](spark, "/root/testdata/sf0.001").collect()
+    rows = catalog.QUERIES["op13_sentencepiece"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == len(texts)
     for r in rows:
         ids = model.library.encode(texts[r.doc_id], add_eos=True)
