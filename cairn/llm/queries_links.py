@@ -1,6 +1,6 @@
 """Queries over shared passages and near copies."""
 
-from cairn.llm import decontamination, fingerprints, lines, url_rules
+from cairn.llm import decontamination, fingerprints, lexical, lines, url_rules
 from cairn.llm.common import table
 from cairn.llm.near_copies import near_copies
 from cairn.llm.registry import query
@@ -30,3 +30,8 @@ def op2(spark, sf_dir):
 @query("op9_line_dedup")
 def op9(spark, sf_dir):
     return lines.judged(table(spark, sf_dir, "documents"), shortest=1)
+
+
+@query("op11_ranked_search", lexical.SQL)
+def op11(spark, sf_dir):
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
