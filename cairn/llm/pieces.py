@@ -19,14 +19,18 @@ words over ``WORD`` characters are not kept.
 
 from __future__ import annotations
 
+import gc
 import re
+import struct
+from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
@@ -36,7 +40,7 @@ from cairn.llm.tokens import public_file
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 WORD = 64  # longer words are encoded each time they occur
-KEPT_WORDS = 250_000  # words of one generation in a worker's cache; ids do not depend on it
+KEPT_WORDS = 300_000  # words of one generation in a worker's cache; ids do not depend on it
 KEPT_PAIRS = 1_000_000  # pairs of neighbours whose answer is kept
 
 _PARTS = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n[^{BLANK}\n]*")
@@ -51,8 +55,10 @@ class Pieces:
         plain = [i for i in range(size) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i))]
         self.ids = {lib.id_to_piece(i): i for i in plain}
         self.scores = {piece: lib.get_score(i) for piece, i in self.ids.items()}
-        self.bytes = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.end = lib.eos_id()
+        code = struct.Struct("<i").pack
+        self.codes = {piece: code(i) for piece, i in self.ids.items()}
+        self.bytes = [code(lib.piece_to_id(f"<0x{b:02X}>")) for b in range(256)]
+        self.end = code(lib.eos_id())
         if any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.ids):
             raise ValueError("a piece reaches over a blank or a line end")
         # a piece that its own characters do not merge to can never come out
@@ -69,9 +75,12 @@ class Pieces:
             for n in range(1, len(piece)):
                 self.inner.setdefault(piece[:n], self.inner.get(piece[: n - 1], ""))
             self.inner[piece] = piece
-        self.pairs: dict[tuple[str, str], str] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.bonds = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.pairs: dict[str, dict[str, str]] = defaultdict(dict)
+        self.kept = 0
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The symbols that merging leaves, straight from the definition."""
@@ -88,20 +97,22 @@ class Pieces:
 
     def _fit(self, left: str, piece: str) -> str:
         """The longest of a piece and its shorter prefixes that goes with ``left``, else nothing."""
+        if self.kept >= KEPT_PAIRS:
+            self.pairs.clear()
+            self.kept = 0
+        known = self.pairs[left]
         tried = []
         while piece:
-            known = self.pairs.get((left, piece))
-            if known is not None:
-                piece = known
+            if piece in known:
+                piece = known[piece]
                 break
             tried.append(piece)
             if self.merged(left + piece) == [left, piece]:
                 break
             piece = self.shorter.get(piece, "")
-        if len(self.pairs) >= KEPT_PAIRS:
-            self.pairs.clear()
         for t in tried:
-            self.pairs[left, t] = piece
+            known[t] = piece
+        self.kept += len(tried)
         return piece
 
     def _run(self, word: str) -> list[str]:
@@ -126,16 +137,15 @@ class Pieces:
 
     def split(self, word: str) -> list[str]:
         """The pieces of one word; a character that is no piece stands alone."""
-        known = self.pairs
+        pairs = self.pairs
         taken = self._run(word)
         # the run is right up to the first pair that does not go together
         good, piece = 1, ""
-        while good < len(taken):
-            pair = (taken[good - 1], taken[good])
-            piece = known.get(pair)
+        for left, right in zip(taken, taken[1:]):
+            piece = pairs[left].get(right)
             if piece is None:
-                piece = self._fit(*pair)
-            if piece is not pair[1] and piece != pair[1]:
+                piece = self._fit(left, right)
+            if piece != right:
                 break
             good += 1
         if good >= len(taken):
@@ -150,41 +160,55 @@ class Pieces:
                     break
                 piece = self.shorter.get(piece, "")
                 if piece and taken:
-                    pair = (taken[-1], piece)
-                    piece = known.get(pair)
-                    if piece is None:
-                        piece = self._fit(*pair)
-            if not piece:  # nothing leads on from here: go back to a shorter piece before it
+                    fits = pairs[taken[-1]].get(piece)
+                    piece = self._fit(taken[-1], piece) if fits is None else fits
+            if piece:
+                taken.append(piece)
+                if to == size:
+                    return taken
+                at = to
+                piece = self._longest(word, at)
+            else:  # nothing leads on from here: go back to a shorter piece before it
                 failed[at >> 3] |= 1 << (at & 7)
                 before = taken.pop()
                 at -= len(before)
                 piece = self.shorter.get(before, "")
-            else:
-                taken.append(piece)
-                at = to
-                if at == size:
-                    return taken
-                piece = self._longest(word, at)
             if piece and taken:
-                pair = (taken[-1], piece)
-                piece = known.get(pair)
-                if piece is None:
-                    piece = self._fit(*pair)
-
-    def _word(self, key: str) -> tuple[int, ...]:
+                fits = pairs[taken[-1]].get(piece)
+                piece = self._fit(taken[-1], piece) if fits is None else fits
+
+    def _code(self, word: str) -> bytes:
+        """The ids of the pieces of a word."""
+        coded = list(map(self.codes.get, parts := self.split(word)))
+        while None in coded:  # no piece: the bytes of the character
+            at = coded.index(None)
+            coded[at] = b"".join([self.bytes[b] for b in parts[at].encode()])
+        return b"".join(coded)
+
+    def _cut(self, word: str) -> list[str]:
+        """Parts of a word between characters that stand side by side in no piece."""
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.bonds]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self._code(part)
+            if len(part) <= WORD:
+                if len(self.parts) >= KEPT_WORDS // 4:
+                    self.parts.clear()
+                self.parts[part] = ids
+        return ids
+
+    def _word(self, key: str) -> bytes:
         """Ids of a key: blanks and a word, a line end and a word, or a word behind one blank."""
-        if key[:1] == "\n":
-            parts = ["\n", *self.split(key[1:])]
-        else:
-            parts = self.split(key if key[:1] == BLANK else BLANK + key)
-        ids: list[int] = []
-        for part in parts:
-            known = self.ids.get(part)
-            if known is None:
-                ids += [self.bytes[b] for b in part.encode()]
-            else:
-                ids.append(known)
-        return tuple(ids)
+        word = key if key[:1] in ("\n", BLANK) else BLANK + key
+        if key.isalpha():
+            return self._code(word)
+        first, *rest = self._cut(word)
+        plain = first[1:]
+        ids = (self.words.get(plain) or self.older.get(plain)) if rest and plain.isalpha() else None
+        return b"".join([self._code(first) if ids is None else ids, *map(self._part, rest)])
 
     def _keys(self, text: str) -> list[str]:
         text = text.replace(BLANK, " ")
@@ -194,23 +218,29 @@ class Pieces:
         parts = _PARTS.findall(BLANK + text.replace(" ", BLANK))
         return [p[1:] if p[0] == BLANK and p[1:2] not in ("", BLANK) else p for p in parts]
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of a text, closed by the end id."""
+    def coded(self, text: str) -> bytes:
+        """The ids of a text as 32-bit integers, closed by the end id."""
         if not text:
-            return [self.end]
+            return self.end
         if len(self.words) > KEPT_WORDS:
             self.older, self.words = self.words, {}
         known, keys = self.words, self._keys(text)
         found = list(map(known.get, keys))
         if None in found:
+            older = self.older
             for i, ids in enumerate(found):
                 if ids is None:
                     key = keys[i]
-                    ids = known.get(key) or self.older.get(key) or self._word(key)
+                    ids = known.get(key) or older.get(key) or self._word(key)
                     if len(key) <= WORD:
                         known[key] = ids
                     found[i] = ids
-        return [*chain.from_iterable(found), self.end]
+        found.append(self.end)
+        return b"".join(found)
+
+    def encode(self, text: str) -> list[int]:
+        """The ids of a text, closed by the end id."""
+        return np.frombuffer(self.coded(text), "<i4").tolist()
 
 
 @cache
@@ -219,16 +249,27 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+@contextmanager
+def _no_collections() -> Iterator[None]:
+    """Nothing here makes cycles, so searches for them only cost time."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def encoded(docs: DataFrame, name: str = MODEL) -> DataFrame:
     """``doc_id, ids``: the ids of every text as the library encodes it, with the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(public_file(name))
         for batch in slices(batches):
-            rows = [model.encode(t or "") for t in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-            flat = np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "ids"])
+            with _no_collections():
+                rows = [model.coded(t or "") for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, rows)], dtype=np.int64) // 4
+            flat = np.frombuffer(b"".join(rows), "<i4")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends.astype(np.int32), flat)], ["doc_id", "ids"])
 
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -241,8 +282,12 @@ def decoded(tokens: DataFrame, name: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = pieces(public_file(name)).library
         for batch in slices(batches):
-            rows = [ids or [] for ids in batch.column(1).to_pylist()]
-            texts = pa.array(library.decode(rows, num_threads=1) if rows else [], pa.string())
+            lists = batch.column(1)
+            flat = lists.flatten().to_numpy().tolist()
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy()).tolist()
+            rows = [flat[a:b] for a, b in zip([0, *ends], ends)]
+            with _no_collections():
+                texts = pa.array(library.decode(rows, num_threads=1) if rows else [], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], ["doc_id", "ids", "text"])
 
     source = tokens.select("doc_id", F.col("ids").cast("array<int>").alias("ids"))
