@@ -1,6 +1,6 @@
 """Queries over token ids."""
 
-from cairn.llm import pieces
+from cairn.llm import pieces, prefixes
 from cairn.llm.common import table
 from cairn.llm.packing import pack_documents
 from cairn.llm.registry import query
@@ -23,3 +23,8 @@ def op7(spark, sf_dir):
 @query("op13_sentencepiece")
 def op13(spark, sf_dir):
     return pieces.digest(pieces.decoded(pieces.encoded(table(spark, sf_dir, "documents"))))
+
+
+@query("op12_prefix_trie", prefixes.SQL)
+def op12(spark, sf_dir):
+    return prefixes.trie(table(spark, sf_dir, "conversations"))
