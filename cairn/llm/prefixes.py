@@ -40,7 +40,7 @@ BASE = 0x5DEECE66D2B79F1A3C6EF372FE94F82B
 ROOT = bytes(16)
 
 _ROWS = "conv_id long, part int, start long, digests binary, chars array<int>, prior binary, total binary, last boolean"
-_PATHS = "conv_id long, base long, base_id binary, ids binary, chars array<int>, ends boolean"
+_PATHS = "conv_id long, base long, base_id binary, starts boolean, ids binary, chars array<int>, ends boolean"
 _NODES = "id binary, parent binary, depth long, chars long, first long, second long, least long"
 
 
@@ -215,7 +215,7 @@ def _path(conv_id, start, digests, chars, prior, before, carry, turns, head, giv
     chars = chars[skip:]
     if start == 1:
         sums, chars, base, base_sum = given_sums + sums, (given_chars or [])[:taken] + chars, 0, 0
-    return conv_id, base, _key(base_sum), b"".join(map(_key, sums)), chars, ends
+    return conv_id, base, _key(base_sum), start == 1, b"".join(map(_key, sums)), chars, ends
 
 
 class _Node:
@@ -236,12 +236,15 @@ class _Node:
 
 
 class _Path:
-    """Keys of a path below its base; ``self[d]`` is the key at depth ``d``."""
+    """Keys of a path below its base; ``self[d]`` is the key at depth ``d``.
 
-    __slots__ = ("base", "base_id", "ids", "chars", "depth")
+    ``starts`` tells that it is the first part of a conversation, which the root counts.
+    """
+
+    __slots__ = ("base", "base_id", "starts", "ids", "chars", "depth")
 
-    def __init__(self, base: int, base_id: bytes, ids: bytes, chars: list[int]):
-        self.base, self.base_id, self.ids, self.chars = base, base_id, ids, chars
+    def __init__(self, base: int, base_id: bytes, starts: bool, ids: bytes, chars: list[int]):
+        self.base, self.base_id, self.starts, self.ids, self.chars = base, base_id, starts, ids, chars
         self.depth = base + len(ids) // 16
 
     def __getitem__(self, depth: int) -> bytes:
@@ -254,26 +257,43 @@ def two_fattest(low: int, high: int) -> int:
     return high & (-1 << ((low ^ high).bit_length() - 1))
 
 
+class _Tree:
+    """A root and the handles of all edges below it."""
+
+    __slots__ = ("root", "handles")
+
+    def __init__(self, path: _Path):
+        self.root = _Node(path.base, path.base, path, None)
+        self.handles: dict[bytes, _Node] = {}
+
+    def hang(self, node: _Node) -> None:
+        self.handles[node.path[two_fattest(node.above, node.depth)]] = node
+        node.parent.children[node.path[node.above + 1]] = node
+
+
 class ZFastTrie:
-    """Paths in compacted edges, each found under the key at its two-fattest depth."""
+    """Paths in compacted edges, each found under the key at its two-fattest depth.
+
+    Parts of conversations hang below the key they go on from, a tree for each.
+    """
 
     def __init__(self):
-        self.roots: dict[bytes, _Node] = {}
-        self.handles: dict[bytes, _Node] = {}
+        self.trees: dict[tuple[bytes, bool], _Tree] = {}
         self.turns = 0
 
-    def _handle(self, node: _Node) -> bytes:
-        return node.path[two_fattest(node.above, node.depth)]
+    def _tree(self, path: _Path) -> _Tree:
+        key = (path.base_id, path.starts)
+        if key not in self.trees:
+            self.trees[key] = _Tree(path)
+        return self.trees[key]
 
     def locate(self, path: _Path) -> tuple[_Node, int]:
         """The deepest edge that the path enters, and the depth at which it leaves it."""
-        root = self.roots.get(path.base_id)
-        if root is None:
-            root = self.roots[path.base_id] = _Node(path.base, path.base, path, None)
-        node, low, high = root, path.base, path.depth
+        tree = self._tree(path)
+        node, low, high = tree.root, path.base, path.depth
         while low < high:
             at = two_fattest(low, high)
-            found = self.handles.get(path[at])
+            found = tree.handles.get(path[at])
             if found is None:
                 high = at - 1
             elif found.depth <= path.depth and found.path[found.depth] == path[found.depth]:
@@ -294,29 +314,26 @@ class ZFastTrie:
                 high = middle - 1
         return node, low
 
-    def _hang(self, node: _Node) -> None:
-        self.handles[self._handle(node)] = node
-        node.parent.children[node.path[node.above + 1]] = node
-
     def insert(self, path: _Path, first: int, second: int, least: int) -> None:
         node, at = self.locate(path)
+        tree = self._tree(path)
         if at < node.depth:  # the edge is cut in two
             upper = _Node(node.above, at, node.path, node.parent)
-            del self.handles[self._handle(node)]
-            self._hang(upper)
+            del tree.handles[node.path[two_fattest(node.above, node.depth)]]
+            tree.hang(upper)
             node.above, node.parent = at, upper
-            self._hang(node)
+            tree.hang(node)
             node = upper
         if at < path.depth:
             below = _Node(at, path.depth, path, node)
-            self._hang(below)
+            tree.hang(below)
             self.turns += path.depth - at
             node = below
         node.add(first, second, least)
 
     def nodes(self) -> Iterator[_Node]:
         """All edges, each before the one above it, with the sums over what hangs below."""
-        out, todo = [], list(self.roots.values())
+        out, todo = [], [t.root for t in self.trees.values()]
         while todo:
             node = todo.pop()
             out.append(node)
@@ -330,21 +347,21 @@ class ZFastTrie:
         """A row for every depth of every edge: key, key above, depth, code points, sums, least id."""
         for node in self.nodes():
             path, sums = node.path, (node.first, node.second, node.least)
-            if node.parent is None and node.depth == 0:
+            if node.parent is None and path.starts:
                 yield (ROOT, None, 0, 0, *sums)
             for d in range(node.above + 1, node.depth + 1):
                 yield (path[d], path[d - 1], d, path.chars[d - path.base - 1], *sums)
 
 
 def tried(paths: DataFrame, trie_turns: int = TRIE_TURNS) -> DataFrame:
-    """Rows of nodes from ``conv_id, base, base_id, ids, chars, first, second``, summed up per trie."""
+    """Rows of nodes from ``conv_id, base, base_id, starts, ids, chars, first, second``, summed up per trie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = ZFastTrie()
         for batch in slices(batches):
-            equal: dict[tuple[bytes, bytes], list] = {}
-            for conv, base, base_id, ids, chars, first, second in zip(*(c.to_pylist() for c in batch.columns)):
-                known = equal.setdefault((base_id, ids), [_Path(base, base_id, ids, chars), 0, 0, conv])
+            equal: dict[tuple[bytes, bool, bytes], list] = {}
+            for conv, base, base_id, starts, ids, chars, first, second in zip(*(c.to_pylist() for c in batch.columns)):
+                known = equal.setdefault((base_id, starts, ids), [_Path(base, base_id, starts, ids, chars), 0, 0, conv])
                 known[1] += first
                 known[2] += second
                 known[3] = min(known[3], conv)
@@ -355,7 +372,7 @@ def tried(paths: DataFrame, trie_turns: int = TRIE_TURNS) -> DataFrame:
                     trie = ZFastTrie()
         yield from _emitted(trie)
 
-    return paths.select("conv_id", "base", "base_id", "ids", "chars", "first", "second").mapInArrow(run, _NODES)
+    return paths.select("conv_id", "base", "base_id", "starts", "ids", "chars", "first", "second").mapInArrow(run, _NODES)
 
 
 def _emitted(trie: ZFastTrie) -> Iterator[pa.RecordBatch]:

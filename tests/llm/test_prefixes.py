@@ -102,7 +102,7 @@ def test_place_where_a_path_leaves():
 
     def path(letters):
         ids = [hashlib.md5("".join(letters[: d + 1]).encode()).digest() for d in range(len(letters))]
-        return prefixes._Path(0, prefixes.ROOT, b"".join(ids), [1] * len(ids))
+        return prefixes._Path(0, prefixes.ROOT, True, b"".join(ids), [1] * len(ids))
 
     trie, known = prefixes.ZFastTrie(), set()
     for _ in range(600):
