@@ -1,5 +1,10 @@
 """Registered queries next to their SQL; ``tools/check.py`` runs all of them."""
 
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -37,3 +42,20 @@ def test_contract():
     assert set(oracles) <= set(queries)
     own = {n for n in queries if n not in catalog.QUERIES}
     assert set(queries) - set(oracles) - own == {"fn23", "gr1", "gr2", "gr10"}
+
+
+def test_library_without_the_text_operators(tmp_path):
+    """A copy without them still imports and keeps all queries over routes."""
+    root = Path(entry.__file__).parent
+    copy = tmp_path / "copy"
+    shutil.copytree(root / "cairn", copy / "cairn", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "bench.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, copy / name)
+    names = "import __spark_entry__ as e, bench; print(*sorted(e.queries()), sep=chr(10))"
+    for present in (True, False):
+        if not present:
+            (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+        run = subprocess.run([sys.executable, "-c", names], cwd=copy, capture_output=True, text=True, timeout=120)
+        assert run.returncode == 0, run.stderr
+        assert set(run.stdout.split()) == set(catalog.QUERIES)
