@@ -46,11 +46,17 @@ KEPT_PAIRS = 1_000_000  # pairs of neighbours whose answer is kept
 _PARTS = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n[^{BLANK}\n]*")
 
 
+@cache
+def library(path: str) -> sentencepiece.SentencePieceProcessor:
+    """The library's model, one per Python worker and file."""
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
 class Pieces:
     """The pieces of a model of the merge type, and texts to ids by them."""
 
     def __init__(self, path: str):
-        self.library = lib = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.library = lib = library(path)
         size = lib.get_piece_size()
         plain = [i for i in range(size) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i))]
         self.ids = {lib.id_to_piece(i): i for i in plain}
@@ -280,14 +286,14 @@ def decoded(tokens: DataFrame, name: str = MODEL) -> DataFrame:
     """``doc_id, ids, text``: the library's text of every row of ids; none or null give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = pieces(public_file(name)).library
+        model = library(public_file(name))
         for batch in slices(batches):
             lists = batch.column(1)
             flat = lists.flatten().to_numpy().tolist()
             ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy()).tolist()
             rows = [flat[a:b] for a, b in zip([0, *ends], ends)]
             with _no_collections():
-                texts = pa.array(library.decode(rows, num_threads=1) if rows else [], pa.string())
+                texts = pa.array(model.decode(rows, num_threads=1) if rows else [], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], ["doc_id", "ids", "text"])
 
     source = tokens.select("doc_id", F.col("ids").cast("array<int>").alias("ids"))
