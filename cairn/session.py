@@ -74,4 +74,5 @@ class Stages:
             )
         watched.write.parquet(path)
         self.seen = note.get if note else {}
+        self.path = path
         return self.spark.read.schema(df.schema).parquet(path)

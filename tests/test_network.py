@@ -92,6 +92,7 @@ def test_walks_against_depth_first_search(spark):
         assert got_walks(walks.closed_walks(segs.repartition(3), given, 15.0, 26.0)) == sorted(want)
         few = brute_walks(edges, anchors, 15, 26, cap=5)
         assert got_walks(walks.closed_walks(segs, given, 15.0, 26.0, cap=5)) == sorted(few)
+        assert got_walks(walks.closed_walks(segs, given, 15.0, 26.0, cap=5, frontier=4)) == sorted(few)
 
 
 def test_families_against_greedy_walk(spark):
