@@ -9,7 +9,7 @@ Dynamic programming picks boundaries and kinds of a window together.
 
 The model is trained by the likelihood of windows whose spans the base finds,
 and of rewritten ones (a phone without its plus, a spelt-out address, a card
-with a wrong digit as a negative). Training takes at most ``WINDOWS`` windows
+with a wrong digit as a negative), and of passages without any span. Training takes at most ``WINDOWS`` windows
 of texts chosen by a hash.
 
 Nulls: a null text is an empty one and has no spans; a null doc_id stays. Every
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,6 +37,7 @@ LABELS = ("other", *KINDS)
 WINDOWS = 300
 AROUND = 6  # tokens on either side of a mark
 LONGEST = 12
+SPELT = 60  # characters between a spelt-out dot and its at, at most
 GROUPED = 6  # digits of groups that make a mark together
 EPOCHS, STEP = 6, 0.5
 
@@ -43,8 +45,13 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGITS = re.compile(r"[0-9]+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"\w(?:[\w.%+@-]*\w)?|[^\w\s]")
-_SPELT = re.compile(r"(?i)[\s(\[{](?:at|dot)[\s)\]}]")
+_TOKEN = re.compile(r"(?i:[(\[{](?:at|dot)[)\]}])|\w(?:[\w.%+@-]*\w)?|[^\w\s]")
+_BRACKETED = re.compile(r"(?i)[(\[{](?:at|dot)[)\]}]")
+_SIGNS = [o + w + c for w in ("at", "dot") for o in "([{" for c in ")]}"]
+_NAMES = ("token", "key", "secret", "password")
+_AT_HOST = re.compile(r"(?i)(?<!\w)at [a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?!\w)")
+_DOT = re.compile(r"(?i)(?<!\w)dot(?!\w)")
+_AT = re.compile(r"(?i)(?<!\w)at(?!\w)|@")
 _GAP = re.compile(r"[^\w\n]{1,3}")
 _LONG = re.compile(r"[A-Za-z0-9_/+-]{16,}")
 _NAMED = re.compile(r"(?i)\b(?:token|key|secret|password)[\"']?\s*[=:]\s*[\"']?\S+")
@@ -229,9 +236,7 @@ class SemiCrf:
 
 
 def windows(text: str, marks: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Token places around the marks, neighbouring windows joined."""
-    if not marks:
-        return []
+    """Token places around the marks; windows that meet are joined, so no two share a place."""
     reach, joined = 14 * AROUND, []
     for s, e in sorted(marks):
         s, e = max(0, s - reach), min(len(text), e + reach)
@@ -239,14 +244,38 @@ def windows(text: str, marks: list[tuple[int, int]]) -> list[list[tuple[int, int
             joined[-1][1] = max(e, joined[-1][1])
         else:
             joined.append([s, e])
-    found = []
+    found, before = [], 0
     for s, e in joined:
-        while s > 0 and not text[s - 1].isspace() and not text[s].isspace() and s > joined[0][0] - 64:
+        least = max(before, s - 64)
+        while s > least and not text[s - 1].isspace() and not text[s].isspace():
             s -= 1
         found.append([m.span() for m in _TOKEN.finditer(text, s, e)])
+        before = e
     return [w for w in found if w]
 
 
+class _Covered:
+    """Whether a place lies within, or touches, what spans cover; overlapping spans count as one."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e, _ in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(e, self.ends[-1])
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def holds(self, s: int, e: int) -> bool:
+        at = bisect_right(self.starts, s) - 1
+        return at >= 0 and e <= self.ends[at]
+
+    def meets(self, s: int, e: int) -> bool:
+        at = bisect_left(self.starts, e) - 1
+        return at >= 0 and s < self.ends[at]
+
+
 def open_marks(text: str, base: list[Span]) -> list[tuple[int, int]]:
     """Digits, long words, named secrets and spelt-out signs that no base span covers."""
     taken = iter(sorted((s, e) for s, e, _ in base))
@@ -268,20 +297,32 @@ def open_marks(text: str, base: list[Span]) -> list[tuple[int, int]]:
         letters = sum(map(str.isalpha, m[0]))
         if letters and any(map(str.isdigit, m[0])) or re.fullmatch(r"[0-9A-Fa-f]+", m[0]):
             marks.append(m.span())
-    marks += [m.span() for m in _NAMED.finditer(text)]
-    marks += [m.span() for m in _SPELT.finditer(text)]
-    return [m for m in marks if not any(s <= m[0] and m[1] <= e for s, e, _ in base)]
+    lower = text.lower()
+    if any(name in lower for name in _NAMES):
+        marks += [m.span() for m in _NAMED.finditer(text)]
+    if any(sign in lower for sign in _SIGNS):
+        marks += [m.span() for m in _BRACKETED.finditer(text)]
+    if " at " in lower:
+        marks += [m.span() for m in _AT_HOST.finditer(text)]
+    for m in _DOT.finditer(text) if "dot" in lower else ():  # a plain "dot" needs an "at" near it, and a plain "at" alone is a word
+        s, e = max(0, m.start() - SPELT), m.end() + SPELT
+        if near := [a.span() for a in _AT.finditer(text, s, e)]:
+            marks.append((min(m.start(), near[0][0]), max(m.end(), near[-1][1])))
+    covered = _Covered(base)
+    return [m for m in marks if not covered.holds(*m)]
 
 
 def all_spans(text: str, base: list[Span], model: SemiCrf) -> list[Span]:
     """Base spans and those of the model that touch none of them."""
     if not model.weights:
         return base
-    added, seen = [], base
-    for tokens in windows(text, open_marks(text, base)):
-        for s, e, kind in model.decode(text, tokens):
-            if not any(s < b[1] and b[0] < e for b in seen):
-                added.append((s, e, kind))
+    covered = _Covered(base)
+    added = [
+        (s, e, kind)
+        for tokens in windows(text, open_marks(text, base))
+        for s, e, kind in model.decode(text, tokens)
+        if not covered.meets(s, e)
+    ]
     return sorted(base + added, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
@@ -289,6 +330,8 @@ def _examples(texts: list[str]) -> Iterator[tuple[str, list[Span]]]:
     """Short texts with their spans: as found, and rewritten."""
     for text in texts:
         known = base_spans(text) + [(*m.span(1), "secret") for m in _KEYED.finditer(text)]
+        if not known:  # numbers that are nothing
+            yield text, []
         for s, e, kind in known:
             left, part, right = text[max(0, s - 40) : s], text[s:e], text[e : e + 40]
             left, right = left[left.find(" ") + 1 :] if " " in left else left, right[: right.rfind(" ")] if " " in right else right

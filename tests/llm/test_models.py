@@ -198,5 +198,38 @@ def test_all_planted_secrets_are_found(spark, documents):
     rows = personal.personal_data(docs, personal.fit(docs)).collect()
     found = [[(x.kind, text[x.start : x.end]) for x in r.found if not x.base] for r, text in zip(rows, texts)]
     missed = [k for k, f in zip(keys, found) if ("secret", k) not in f]
-    print(len(missed), found[60:])
     assert not missed
+
+
+def test_plain_prose_opens_no_window():
+    text = "He looked at the dot on the wall, at the key of the house, and at 10 to 9 went home at last. " * 40
+    assert not personal.open_marks("At the end he sat at home. " * 50, []) and not personal.windows("at", [])
+    assert len(personal.open_marks(text, [])) <= 40  # a dot near an at, and nothing else
+
+
+def test_long_text_without_blanks():
+    """Windows of one text share no place, and their number does not slow the search."""
+    model = personal.SemiCrf({"hex": [0.0, 0, 0, 0, 0, 5.0], "mixed": [0.0, 0, 0, 0, 0, 5.0]})
+    text = "".join("x" * 200 + "12345," for _ in range(2000))
+    found = personal.windows(text, personal.open_marks(text, []))
+    places = [t for w in found for t in w]
+    assert all(a[1] <= b[0] for a, b in zip(places, places[1:]))
+    spans = personal.all_spans("a1b2c3d4e5f6a7b8c9d0," * 3000, [], model)
+    assert spans and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_held_out_secrets(spark, documents):
+    """Trained on some texts, graded on others: planted secrets, and prose with numbers that are none."""
+    source = random.Random(28)
+    words = "the of and to in that is was for with at".split()
+    prose = lambda: " ".join(source.choice(words) for _ in range(12))
+    key = lambda: "".join(source.choice("0123456789abcdef") for _ in range(40))
+    planted = lambda k: f'{prose()} token = "{k}" {prose()} +1 (415) 555-{source.randint(1000, 9999)} {prose()} a{source.randint(1, 99)}@mail.example.com {prose()} in {source.randint(1900, 2024)} {prose()}'
+    model = personal.fit(documents([planted(key()) for _ in range(60)]))
+    keys = [key() for _ in range(40)]
+    texts = [planted(k) for k in keys] + [f"{prose()} {source.randint(100, 9999)} {prose()} 12 of 345 {prose()}" for _ in range(40)]
+    rows = personal.personal_data(documents(texts), model).collect()
+    added = [[texts[i][x.start : x.end] for x in r.found if not x.base] for i, r in enumerate(rows)]
+    right = sum(k in a for k, a in zip(keys, added))
+    assert right / len(keys) >= 0.9
+    assert right / max(1, sum(map(len, added))) >= 0.9
