@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ROWS = 1024  # rows that Python code handles at a time
@@ -23,6 +27,29 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], rows: int = 4096, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of a bounded row count and about ``size`` bytes of their second column, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            done = ends[at - 1] if at else 0
+            to = int(np.searchsorted(ends, done + size, side="right"))
+            to = max(at + 1, min(to, at + rows, batch.num_rows))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+@contextmanager
+def no_collections() -> Iterator[None]:
+    """For code that makes many objects and no cycles, where searches for cycles only cost time."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, everything else as it is."""
     return F.translate(text, UPPER, UPPER.lower())

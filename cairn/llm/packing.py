@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from cairn.llm.common import slices
+from cairn.llm.common import no_collections, text_slices
 from cairn.llm.tokens import encoder, public_file
 from cairn.session import Stages
 
@@ -67,9 +67,10 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", size: int = LE
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(public_file(tokenizer))
-        for batch in slices(batches):
+        for batch in text_slices(batches):
             rows = []
-            ids, sizes = tool.encode(batch.column(1), END_ID)
+            with no_collections():
+                ids, sizes = tool.encode(batch.column(1), END_ID)
             for key, own in zip(batch.column(0).to_pylist(), np.split(ids, np.cumsum(sizes)[:-1])):
                 data = own.tobytes()
                 for k in range(-(-len(data) // (4 * size))):

@@ -19,12 +19,10 @@ words over ``WORD`` characters are not kept.
 
 from __future__ import annotations
 
-import gc
 import re
 import struct
 from collections import defaultdict
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import cache
 
 import ahocorasick
@@ -34,7 +32,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from cairn.llm.common import slices
+from cairn.llm.common import no_collections, slices
 from cairn.llm.tokens import public_file
 
 MODEL = "piece_bpe_32k.model"
@@ -255,23 +253,13 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-@contextmanager
-def _no_collections() -> Iterator[None]:
-    """Nothing here makes cycles, so searches for them only cost time."""
-    gc.disable()
-    try:
-        yield
-    finally:
-        gc.enable()
-
-
 def encoded(docs: DataFrame, name: str = MODEL) -> DataFrame:
     """``doc_id, ids``: the ids of every text as the library encodes it, with the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(public_file(name))
         for batch in slices(batches):
-            with _no_collections():
+            with no_collections():
                 rows = [model.coded(t or "") for t in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, rows)], dtype=np.int64) // 4
             flat = np.frombuffer(b"".join(rows), "<i4")
@@ -292,7 +280,7 @@ def decoded(tokens: DataFrame, name: str = MODEL) -> DataFrame:
             flat = lists.flatten().to_numpy().tolist()
             ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy()).tolist()
             rows = [flat[a:b] for a, b in zip([0, *ends], ends)]
-            with _no_collections():
+            with no_collections():
                 texts = pa.array(model.decode(rows, num_threads=1) if rows else [], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], ["doc_id", "ids", "text"])
 

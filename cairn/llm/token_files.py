@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from cairn.llm.common import slices
+from cairn.llm.common import no_collections, slices, text_slices
 from cairn.llm.tokens import encoder, public_file
 
 BLOCK = 512
@@ -139,8 +139,9 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str = "byte_bpe_50k.
             row = (shard, segment, names[0], len(names), len(ids), before, write_segment(names, lengths, ids))
             return pa.RecordBatch.from_pylist([dict(zip(_SEGMENTS.names, row))], _SEGMENTS)
 
-        for batch in slices(batches):
-            ids, sizes = tool.encode(batch.column(1), END_ID)
+        for batch in text_slices(batches):
+            with no_collections():
+                ids, sizes = tool.encode(batch.column(1), END_ID)
             for key, part in zip(batch.column(0).to_pylist(), np.split(ids, np.cumsum(sizes)[:-1])):
                 names.append(key)
                 parts.append(part)
