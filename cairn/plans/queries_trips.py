@@ -12,7 +12,7 @@ from cairn.plans.registry import half, query, r1, r3
 from cairn.plans.views import table, view
 from cairn.session import Stages
 from cairn.sources import documents, files, schemas
-from cairn.streaming import folds, traffic
+from cairn.streaming import folds, traffic, windows
 
 TODAY = "2024-01-10"
 
@@ -445,6 +445,24 @@ def str3(spark, sf):
     return _plain(traffic.limited(log(spark, sf)), "start").select("kind", "start", "ip", "requests", "over")
 
 
+_KINDS = ", ".join(f"('{k}', interval '{m} minutes', {n})" for k, (m, n) in traffic.LIMITS.items())
+
+
+@query(
+    "str3_first",
+    f"""with recursive kinds as (select * from (values {_KINDS}) as k(kind, width, most)),
+        opened(kind, width, most, ip, start) as (
+          select kind, width, most, ip, min(ts) from log, kinds group by 1, 2, 3, 4
+          union all
+          select o.kind, o.width, o.most, o.ip, min(l.ts) from opened o join log l on l.ip = o.ip and l.ts >= o.start + o.width group by o.kind, o.width, o.most, o.ip, o.start)
+        select o.kind, o.start, o.ip, count(*) as requests, count(*) > any_value(o.most) as over
+        from opened o join log l on l.ip = o.ip and l.ts >= o.start and l.ts < o.start + o.width group by o.kind, o.start, o.ip""",
+)
+def str3_first(spark, sf):
+    """Request windows that open with the first request of an address."""
+    return _plain(windows.over_limit(windows.first_windows(windows.keyed_requests(log(spark, sf)))), "start")
+
+
 @query("str4", f"select date_trunc('hour', ts) as start, path, count(*) as requests, count(*) filter (status >= 500) as errors, {r3('avg(ms)')} as mean_ms, max(ms) as max_ms from log group by 1, 2")
 def str4(spark, sf):
     m = _plain(traffic.log_metrics(log(spark, sf)), "start")
@@ -470,6 +488,22 @@ def str5_live(spark, sf):
     return _plain(folds.live_jobs(jobs, now), "created_at")
 
 
+@query(
+    "str5_lives",
+    """with recursive opened(ip, start) as (
+          select ip, min(ts) from log group by 1
+          union all
+          select o.ip, min(l.ts) from opened o join log l on l.ip = o.ip and l.ts >= o.start + interval '60 minutes' group by o.ip, o.start)
+        select o.ip as job_id, o.start as created_at, count(*) as updates, arg_max(l.path, (l.ts, l.path)) as status
+        from opened o join log l on l.ip = o.ip and l.ts >= o.start and l.ts < o.start + interval '60 minutes' group by 1, 2""",
+)
+def str5_lives(spark, sf):
+    """Every life of a job: it is made by its first update and dropped after an hour."""
+    updates = log(spark, sf).select(F.col("ip").alias("job_id"), "ts", F.col("path").alias("status"))
+    lives = windows.first_windows(windows.keyed_jobs(updates))
+    return _plain(lives.select(F.col("key").alias("job_id"), F.col("start").alias("created_at"), F.col("rows").alias("updates"), F.col("last").alias("status")), "created_at")
+
+
 # --- documents -------------------------------------------------------------
 
 
