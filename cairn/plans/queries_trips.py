@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import geo, text, trip
 from cairn.operators import itinerary as it, trips
-from cairn.plans.queries_itinerary import entries, geometry, given, main, segments, some_violations, _SOME
+from cairn.plans.queries_itinerary import entries, geometry, given, main, segments, violations, ALL_RULES
 from cairn.plans.queries_network import elements, raw_segments
 from cairn.plans.registry import half, query, r1, r3
 from cairn.plans.views import table, view
@@ -694,11 +694,11 @@ def snk2(spark, sf):
     return spark.read.schema("route_id bigint, miles double, center_lat double").json(root)
 
 
-@query("snk3", f"with {_SOME} select request_id, \"check\" from v")
+@query("snk3", f"with {ALL_RULES} select request_id, \"check\" from v")
 def snk3(spark, sf):
     root = Stages(spark).root + "/out"
     days = it.day_totals(entries(spark, sf), it.day_segments(entries(spark, sf), segments(spark, sf), ["request_id", "route"]), ["request_id", "route"])
-    files.write_itineraries(days, some_violations(spark, sf), root)
+    files.write_itineraries(days, violations(spark, sf), root)
     return spark.read.schema("request_id bigint, check string").json(f"{root}/violations")
 
 

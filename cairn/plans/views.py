@@ -131,6 +131,16 @@ VIEWS = {
           cast(count(*) as bigint) as segments, cast(1 + request_id % 4 as int) as days,
           '~' || cast(8 + request_id % 9 as string) as miles_per_day_text
         from legs group by request_id""",
+    # what was written about an order, for every rule on texts
+    "told": """
+        select o_orderkey as request_id,
+          case o_orderkey % 11 when 3 then '' when 7 then 'undefined' else 'Route ' || cast(o_orderkey as string) end as route_name,
+          case when o_orderkey % 13 = 5 then 'A Stunning way over pristine ground' else 'Quiet valleys and ridges' end as summary,
+          'walkers with time' as best_for,
+          case o_orderkey % 4 when 0 then 'Views. Lakes. Peaks!' when 1 then 'Camp near ' || coalesce(feature, 'water') when 2 then 'Seven calm days' else 'Long and lonely' end as pro,
+          case o_orderkey % 5 when 0 then 'Crowded in July. Hot. Dry.' when 1 then 'About 12 miles without water' else 'A steep start' end as con,
+          case when o_orderkey % 17 = 4 then 'A bear canister – rented' else 'A bear canister' end as gear
+        from orders left join (select request_id, min(feature) as feature from legs group by request_id) f on f.request_id = o_orderkey""",
     # an order as a finished route to score
     "routes": f"""
         select request_id as route_id, cast(floor(cust_id / 10) as bigint) as region_id,
