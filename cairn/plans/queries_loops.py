@@ -219,6 +219,11 @@ def join20(spark, sf):
     return loops.overlapping_pairs(node_sets(spark, sf), 0.3).select("region_id", "a", "b", "shared")
 
 
+@query("join20_similar", f"with {OVERLAP} select region_id, a, b, cast(shared as int) as shared from o where overlap > 0.6e0")
+def join20_similar(spark, sf):
+    return loops.overlapping_pairs(node_sets(spark, sf), loops.SIMILARITY).select("region_id", "a", "b", "shared")
+
+
 @query("set3", f"""with t as (select distinct way_id, node_id % 100 as k from way_nodes), f as (select way_id, k, case when k < 12 then 1 else 0 end as low from t)
     select way_id, {r3("cast(sum(low) as double) / (12 + count(*) - sum(low))")} as overlap from f group by 1""")
 def set3(spark, sf):
@@ -315,10 +320,10 @@ def top6(spark, sf):
     "top7",
     """with n as (select distinct region_id, name from ways where name is not null),
          r as (select *, row_number() over (partition by region_id order by name) as rank from n)
-       select region_id, string_agg(name, ',' order by name) as names from r where rank <= 5 group by 1""",
+       select region_id, string_agg(name, ',' order by name) as names from r where rank <= 20 group by 1""",
 )
 def top7(spark, sf):
-    return net.sample_names(view(spark, sf, "ways"), 5).select("region_id", F.array_join("names", ",").alias("names"))
+    return net.sample_names(view(spark, sf, "ways")).select("region_id", F.array_join("names", ",").alias("names"))
 
 
 @query(
