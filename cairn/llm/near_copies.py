@@ -21,11 +21,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.llm.common import slices
 from cairn.llm.links import least_reachable
@@ -36,7 +37,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.06, 4.0, 254
 MARGIN = 0.09  # five standard errors of the estimate at 512 registers
 STAR_BANDS = 16  # bands whose heads are met first; all bands count for what is left open
-TRIES = 4  # heads that a document is compared with first; what they leave open is compared in full
+HEADS = 3  # rounds in which a document without a link meets one head
+BITS = 1 << 25  # of the bitmap of wanted ids, 4 MB
 PERCENT = 80
 WORDS = [f"s{i}" for i in range(REGISTERS // 64)]  # the lowest bits of all registers
 FINE = 4096  # further minima, of which one bit is kept, for documents with open questions
@@ -203,6 +205,20 @@ def bands(kept: DataFrame) -> DataFrame:
     )
 
 
+def chosen(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is among the distinct ``ids``.
+
+    A bitmap of hashed ids, of ``BITS`` bits at most and so of a known size, goes
+    to every task first and keeps most other rows out of the shuffle.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)) + 1
+    maps = ids.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(maps), "bucket").filter(F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1)
+    return marked.select(*rows.columns).join(ids, "doc_id", "left_semi")
+
+
 def confirmed(pairs: DataFrame, kept: DataFrame, docs: DataFrame, size: int, percent: int, stages: Stages) -> DataFrame:
     """The pairs ``a, b`` whose sets are alike enough: first by the likelihood of both sketches, then by the full sets."""
     floor = percent / 100 - MARGIN
@@ -215,10 +231,11 @@ def confirmed(pairs: DataFrame, kept: DataFrame, docs: DataFrame, size: int, per
                 j = likeness(x, y, p["na"].to_numpy(float), p["nb"].to_numpy(float))
                 yield p.loc[j >= floor, ["a", "b"]]
 
-    side = lambda c: kept.select(F.col("doc_id").alias(c), F.col("registers").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}"))
+    ends = lambda p: p.select(F.col("a").alias("doc_id")).unionByName(p.select(F.col("b").alias("doc_id"))).distinct()
+    held = chosen(kept.select("doc_id", "registers", "n_shingles"), stages.cut(ends(pairs)))
+    side = lambda c: held.select(F.col("doc_id").alias(c), F.col("registers").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}"))
     candidates = stages.cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(likely, "a long, b long"))
-    ids = candidates.select(F.col("a").alias("doc_id")).unionByName(candidates.select(F.col("b").alias("doc_id"))).distinct()
-    full = stages.cut(sets(docs.join(ids, "doc_id", "left_semi"), size))
+    full = stages.cut(sets(chosen(docs, stages.cut(ends(candidates))), size))
     return (
         candidates.join(full.select(F.col("doc_id").alias("a"), F.col("members").alias("ma")), "a")
         .join(full.select(F.col("doc_id").alias("b"), F.col("members").alias("mb")), "b")
@@ -231,10 +248,11 @@ def confirmed(pairs: DataFrame, kept: DataFrame, docs: DataFrame, size: int, per
 def near_copies(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every distinct doc_id.
 
-    First every member of a band's bucket meets the heads of its buckets, and
-    the most alike of them are verified. What these links join is one component;
-    then only members of different components of a bucket meet, so that no link
-    between components is lost.
+    A bucket has three heads. In each of three rounds every document that has no
+    link yet meets one of them, the head of most of its buckets, so a round takes
+    one pair a document. What these links join is one component; then only
+    members of different components of a bucket meet, so that no link between
+    components is lost.
     """
     stages = Stages(docs.sparkSession)
     every = stages.cut(sketches(docs, size))
@@ -250,24 +268,21 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataF
     heads = shared.groupBy("band").agg(
         F.array(F.min("doc_id"), F.max("doc_id"), F.min(F.struct(F.xxhash64("band", "doc_id"), "doc_id"))["doc_id"]).alias("heads")
     )
+    heads = stages.cut(heads)
     brief = lambda side: kept.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"{side}n"), *[F.col(w).alias(side + w) for w in WORDS])
-    best = Window.partitionBy("b").orderBy("unlike", "a")
-    stars = stages.cut(
-        shared.filter(F.col("k") < STAR_BANDS)
-        .join(heads, "band")
-        .select(F.col("doc_id").alias("b"), F.explode("heads").alias("a"))
-        .filter("a <> b")
-        .distinct()
-        .join(brief("a"), "a")
-        .join(brief("b"), "b")
-        .filter(near_enough(percent, "a", "b"))
-        .select("a", "b", unlike_bits("a", "b").alias("unlike"))
-        .withColumn("place", F.row_number().over(best))
-        .filter(F.col("place") <= TRIES)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    first = stages.cut(confirmed(stars, kept, docs, size, percent, stages))
+    alone = shared.filter(F.col("k") < STAR_BANDS)
+    links, tries = [], []
+    for turn in range(HEADS):
+        met = alone.join(heads.select("band", F.col("heads")[turn].alias("a")), "band").filter("doc_id <> a")
+        met = met.groupBy(F.col("doc_id").alias("b")).agg(F.mode("a", True).alias("a"))
+        tries.append(stages.cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+        fits = tries[-1].join(brief("a"), "a").join(brief("b"), "b").filter(near_enough(percent, "a", "b")).select("a", "b")
+        links.append(stages.cut(confirmed(stages.cut(fits), kept, docs, size, percent, stages)))
+        linked = links[-1].select(F.col("a").alias("doc_id")).unionByName(links[-1].select(F.col("b").alias("doc_id"))).distinct()
+        if turn + 1 < HEADS:
+            alone = stages.cut(alone.join(linked, "doc_id", "left_anti"))
+    first, tried = (reduce(DataFrame.unionByName, x) for x in (links, tries))
+    first = first.distinct()
     labels = least_reachable(first, stages)
     marked = (
         shared.join(labels.select(F.col("node").alias("doc_id"), "least"), "doc_id", "left")
@@ -276,20 +291,17 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataF
     mixed = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
     open_ = stages.cut(marked.join(mixed, "band", "left_semi"))
     ids = stages.cut(open_.select("doc_id").distinct())
-    fine = fine_bits(docs.join(ids, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"])
-    facts = stages.cut(kept.select("doc_id", F.col("n_shingles").alias("n"), "registers").join(fine, "doc_id"))
-    side = lambda s: open_.join(facts, "doc_id").select("band", "k", *[F.col(c).alias(s + c) for c in ("doc_id", "label", "n", "registers", *FINE_WORDS)])
-    part = lambda c, k: F.substring(c, k * ROWS + 1, F.lit(ROWS))
-    x, y = side("x"), side("y").drop("k")
-    # two documents may share many bands: the first one tells
-    known = F.exists(F.sequence(F.lit(0), F.col("k")), lambda k: (k < F.col("k")) & (part(F.col("xregisters"), k) == part(F.col("yregisters"), k)))
+    fine = fine_bits(chosen(docs, ids), size).dropDuplicates(["doc_id"])
+    facts = stages.cut(kept.select("doc_id", F.col("n_shingles").alias("n")).join(fine, "doc_id"))
+    side = lambda s: open_.join(facts, "doc_id").select("band", *[F.col(c).alias(s + c) for c in ("doc_id", "label", "n", *FINE_WORDS)])
+    x, y = side("x"), side("y")
     across = (
-        x.join(y, (x["band"] == y["band"]) & (F.col("xlabel") < F.col("ylabel")) & near_enough(percent, "x", "y", FINE_WORDS, 4.5) & ~known)
+        x.join(y, (x["band"] == y["band"]) & (F.col("xlabel") < F.col("ylabel")) & near_enough(percent, "x", "y", FINE_WORDS, 4.5))
         .select(F.least("xdoc_id", "ydoc_id").alias("a"), F.greatest("xdoc_id", "ydoc_id").alias("b"))
         .distinct()
-        .join(stars, ["a", "b"], "left_anti")
+        .join(tried, ["a", "b"], "left_anti")
     )
-    second = confirmed(across, kept, docs, size, percent, stages)
+    second = confirmed(stages.cut(across), kept, docs, size, percent, stages)
     links = stages.cut(first.unionByName(second))
     final = least_reachable(links, stages).select(F.col("node").alias("first"), "least")
     ends = classes.join(final, "first", "left").select("n_shingles", "same_a", "same_b", F.coalesce("least", "first").alias("component_id"))
