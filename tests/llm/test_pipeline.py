@@ -10,7 +10,7 @@ from tools.check import norm
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op2_url_rules", "op8_decontamination"])
+@pytest.mark.parametrize("name", ["op2_url_rules", "op8_decontamination", "op11_ranked_search", "op12_prefix_trie"])
 def test_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "pages", "benchmark"):
@@ -26,7 +26,7 @@ def test_sql(spark, name):
 
 def test_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_pipeline_stages(spark, documents):
