@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairn.functions import geo
 from cairn.operators import components, contraction, distance, elevation, loops, network as net, walks
 from cairn.plans import build, families
+from cairn.session import Stages
 
 SEG = "region_id long, seg_id long, name string, start_node long, end_node long, node_ids array<long>, length_mi double, gain_ft long, loss_ft long"
 
@@ -308,3 +309,40 @@ def test_walks_on_a_grid_at_full_limits(spark):
     given = spark.createDataFrame([(1, 12)], "region_id long, anchor long")
     got = got_walks(walks.closed_walks(segments(spark, edges), given))
     assert len(got) == 2000 and got == sorted(brute_walks(edges, [12], 25, 45))
+
+
+def union_find(nodes, pairs):
+    head = {n: n for n in nodes}
+
+    def find(n):
+        while head[n] != n:
+            n = head[n]
+        return n
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        head[b] = a
+    return {n: find(n) for n in nodes}
+
+
+def test_components_by_contraction(spark):
+    source = random.Random(5)
+    path = [(i, i + 1) for i in range(400)]
+    hub = [(10_000, 10_000 + i) for i in range(1, 2000)]
+    loose = [(source.randrange(20_000, 21_000), source.randrange(20_000, 21_000)) for _ in range(700)]
+    pairs = [(a, b) if source.random() < 0.5 else (b, a) for a, b in path + hub + loose + hub[:50]]
+    every = {n for p in pairs for n in p} | {50_000}
+    nodes = spark.createDataFrame([(1, n) for n in every] + [(2, 7), (2, 7)], "region_id long, node_id long")
+    edges = spark.createDataFrame([(1, *p) for p in pairs] + [(2, 7, 7), (2, 7, None)], "region_id long, src long, dst long")
+    got = {(r["region_id"], r["node_id"]): r["component"] for r in components.components(nodes, edges).collect()}
+    assert got == {(1, n): c for n, c in union_find(every, pairs).items()} | {(2, 7): 7}
+    assert components.components(nodes, edges.limit(0)).filter("component <> node_id").count() == 0
+    assert components.components(nodes.limit(0), edges.limit(0)).count() == 0
+
+
+def test_contraction_shrinks_and_drops_what_is_settled(spark):
+    links = spark.createDataFrame([(1, i, i + 1) for i in range(1000)] + [(2, 1, 2)], "region_id long, a long, b long")
+    rounds = components.contracted(links, Stages(spark))
+    sizes = [r.count() for r in rounds]
+    assert all(b <= 0.6 * a for a, b in zip(sizes, sizes[1:]) if a > 200) and sum(sizes) < 3 * sizes[0]
+    assert all(r.filter("region_id = 2").count() == (2 if i == 0 else 0) for i, r in enumerate(rounds))
