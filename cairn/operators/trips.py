@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.functions.geo import half_up, round_to
 from cairn.functions.text import grams, slug
-from cairn.functions.trip import date_list, is_open, next_saturdays, weather_source, weather_text
+from cairn.functions.trip import NORMAL_YEARS, date_list, is_open, next_saturdays, weather_source, weather_text
 
 # Fixed values.
-NORMAL_YEARS = (1991, 2020)
 
 
 # --- regions ---------------------------------------------------------------

@@ -12,6 +12,7 @@ from cairn.plans.queries_network import round3
 from cairn.plans.registry import half, query, r1, r3
 from cairn.plans.views import kept, table, view
 from cairn.session import Stages
+from cairn.sources import documents
 
 KEY = ["request_id", "route"]
 CATS = it.CATEGORIES
@@ -82,6 +83,53 @@ def agg16(spark, sf):
     return it.route_totals(days, KEY).drop("route")
 
 
+def leg_points(spark, sf):
+    """Two points for every segment, from its part and supplier; neighbours often share one."""
+    at = lambda n: F.struct((40 + n % 5 / 8).alias("lat"), (-120 - n % 3 / 4).alias("lon"))
+    return view(spark, sf, "legs").select(
+        "request_id", F.lit("main").alias("archetype"), "seg_idx", F.array(at(F.col("l_partkey")), at(F.col("l_suppkey"))).alias("coords")
+    )
+
+
+def replied_routes(spark, sf):
+    """One reply an order, read back from its text: the asked route, and for every ninth order one that nobody asked for."""
+    days = F.transform(
+        F.array_sort(F.collect_list(F.struct("day", F.col("segment_ids").alias("segmentIds")))),
+        lambda d: F.struct(d["day"].alias("day"), d["segmentIds"].alias("segmentIds"), F.lit("on – we go").alias("note")),
+    )
+    route = lambda kind, trip: F.struct(
+        F.concat(F.lit("Way — "), F.col("request_id").cast("string")).alias("routeName"), F.lit(kind).alias("archetype"), trip.alias("itinerary")
+    )
+    by_order = entries(spark, sf).groupBy("request_id").agg(days.alias("itinerary"))
+    main_route = route("main", F.col("itinerary"))
+    both = F.when(F.col("request_id") % 9 == 0, F.array(main_route, route("other", F.slice("itinerary", 1, 0)))).otherwise(F.array(main_route))
+    docs = by_order.select("request_id", F.concat(F.lit("Here:\n"), F.to_json(both)).alias("said"))
+    return it.reply_routes(docs.select("request_id", F.lit(1).alias("attempt"), documents.reply_array(F.col("said")).alias("reply")))
+
+
+@query(
+    "agg16_routes",
+    f"""with p as (select *, 40 + l_partkey % 5 / 8e0 as lat, -120 - l_partkey % 3 / 4e0 as lon from legs),
+        t as (select request_id, count(*) as n, {r1("sum(length_mi)")} as computed_miles, cast(sum(gain_ft) as bigint) as total_gain_ft, cast(sum(loss_ft) as bigint) as total_loss_ft,
+          cast(max(1 + floor(seg_idx / 2)) as bigint) as days, arg_min(lat, seg_idx) as head_lat, arg_min(lon, seg_idx) as head_lon from p group by 1)
+        select t.request_id, 'main' as archetype, 'Way - ' || t.request_id as route_name, true as asked, g.total_miles, computed_miles, t.total_gain_ft, t.total_loss_ft, t.days,
+          r.center_lat, r.center_lon, head_lat, head_lon from t join given g on g.request_id = t.request_id join routes r on r.route_id = t.request_id
+        union all select request_id, 'other', 'Way - ' || request_id, false, null, 0, 0, 0, 0, null, null, null, null from t where request_id % 9 = 0""",
+)
+def agg16_routes(spark, sf):
+    """Replies as finished routes: totals, centre of the asked route, trailhead from the first day's points."""
+    told = Stages(spark).cut(replied_routes(spark, sf))
+    legs = segments(spark, sf).withColumnRenamed("route", "archetype")
+    days = it.finished_days(told, legs, leg_points(spark, sf))
+    centre = view(spark, sf, "routes").select(F.col("route_id").alias("request_id"), F.struct(F.col("center_lat").alias("lat"), F.col("center_lon").alias("lon")).alias("center"))
+    asked = view(spark, sf, "given").join(centre, "request_id").withColumn("archetype", F.lit("main"))
+    return it.finished_routes(told, days, asked).select(
+        "request_id", "archetype", "route_name", "asked", "total_miles", "computed_miles", "total_gain_ft", "total_loss_ft", "days",
+        F.col("center.lat").alias("center_lat"), F.col("center.lon").alias("center_lon"),
+        F.col("trailhead.lat").alias("head_lat"), F.col("trailhead.lon").alias("head_lon"),
+    )
+
+
 @query(
     "win5",
     f"""

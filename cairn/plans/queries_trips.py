@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cairn.functions import geo, text, trip
 from cairn.operators import itinerary as it, trips
 from cairn.plans.queries_itinerary import entries, geometry, given, main, segments, violations, ALL_RULES
-from cairn.plans.queries_network import elements, raw_segments
+from cairn.plans.queries_network import SEGMENTS, elements, raw_segments
 from cairn.plans.registry import half, query, r1, r3
 from cairn.plans.views import table, view
 from cairn.session import Stages
@@ -274,15 +274,15 @@ def fn26(spark, sf):
 
 @query(
     "fn27",
-    f"""select id, case when start_date between date '{TODAY}' and date '{TODAY}' + 16 then 'forecast' else 'climate_normals' end as source,
-          cast(start_date + 2 as date) as last_day, strftime(coalesce(start_date, date '{TODAY}'), '%m-%d') as month_day from alerts""",
+    f"""with p as (select id, start_date, 1 + cast(id as bigint) % 4 as days, strftime(coalesce(start_date, date '{TODAY}'), '%m-%d') as month_day,
+          case when start_date between date '{TODAY}' and date '{TODAY}' + 16 then 'forecast' else 'climate_normals' end as source from alerts)
+        select id, source, month_day, case source when 'forecast' then cast(start_date as varchar) else '1991-' || month_day end as first_day,
+          case source when 'forecast' then cast(cast(start_date + cast(days - 1 as int) as date) as varchar) else '2020-' || month_day end as last_day from p""",
 )
 def fn27(spark, sf):
-    until = F.datediff("start_date", today())
-    return view(spark, sf, "alerts").select(
-        "id", F.coalesce(trip.weather_source(until), F.lit("climate_normals")).alias("source"), F.date_add("start_date", 2).alias("last_day"),
-        F.date_format(F.coalesce("start_date", today()), "MM-dd").alias("month_day"),
-    )
+    """Trips of one to four days from the dates of the alerts."""
+    days = F.col("id").cast("long") % 4 + 1
+    return view(spark, sf, "alerts").select("id", trip.weather_window(F.col("start_date"), days, today()).alias("w")).select("id", "w.*")
 
 
 # --- weather ---------------------------------------------------------------
@@ -328,6 +328,24 @@ def agg17(spark, sf):
     return trips.climate_normals(daily, ["place_id"])
 
 
+@query(
+    "agg17_calendar",
+    f"""with asked as (select distinct region_id as place_id, strftime(coalesce(start_date, date '{TODAY}'), '%m-%d') as month_day from alerts),
+          d as (select o_custkey % 25 as place_id, strftime(o_orderdate, '%m-%d') as month_day, o_totalprice as p from orders where year(o_orderdate) between 1991 and 2020)
+        select place_id, month_day, {half("avg(p / 1000)")} as avg_high_f, {half("avg(p / 2000)")} as avg_low_f, floor(avg(p / 1e6) * 100e0 + 0.5e0) / 100e0 as avg_precip_in
+        from d join asked using (place_id, month_day) group by 1, 2""",
+)
+def agg17_calendar(spark, sf):
+    """Normals of the calendar days that the alerts ask for, over the normal years."""
+    price = F.col("o_totalprice")
+    daily = table(spark, sf, "orders").select(
+        (F.col("o_custkey") % 25).alias("place_id"), F.col("o_orderdate").alias("date"), (price / 1000).alias("high_f"), (price / 2000).alias("low_f"), (price / 1e6).alias("precip_in")
+    )
+    window = trip.weather_window(F.col("start_date"), F.lit(1), today())
+    asked = view(spark, sf, "alerts").select(F.col("region_id").alias("place_id"), window["month_day"].alias("month_day"))
+    return trips.climate_normals(trips.calendar_window(daily, asked), ["place_id", "month_day"])
+
+
 # --- alerts ----------------------------------------------------------------
 
 
@@ -687,6 +705,33 @@ def snk1(spark, sf):
     return spark.read.parquet(f"{root}/nodes").select(F.col("rid").alias("region_id"), "node_id", "lat", "lon")
 
 
+@query(
+    "snk1_graph",
+    f"""with {SEGMENTS} select 'node' as kind, region_id, node_id as id, 0 as part, lat as lat, cast(null as bigint) as head from nodes
+        union all select 'segment', region_id, way_id, seg_id, null, start_node from segment
+        union all select 'trailhead', region_id, node_id, 0, null, null from trailheads""",
+)
+def snk1_graph(spark, sf):
+    """All three tables of the graph sink, read back."""
+    root = Stages(spark).root + "/graph"
+    files.write_graph(view(spark, sf, "nodes"), raw_segments(spark, sf), view(spark, sf, "trailheads"), root)
+    none = F.lit(None)
+    back = {name: spark.read.parquet(f"{root}/{name}") for name in ("nodes", "segments", "trailheads")}
+    rows = [
+        (back["nodes"], "node", "node_id", F.lit(0), F.col("lat"), none),
+        (back["segments"], "segment", "way_id", F.col("seg_id"), none, F.col("start_node")),
+        (back["trailheads"], "trailhead", "node_id", F.lit(0), none, none),
+    ]
+    one, two, three = (
+        df.select(
+            F.lit(kind).alias("kind"), F.col("region_id").cast("long").alias("region_id"), F.col(key).cast("long").alias("id"), part.cast("long").alias("part"),
+            lat.cast("double").alias("lat"), head.cast("long").alias("head"),
+        )
+        for df, kind, key, part, lat, head in rows
+    )
+    return one.unionByName(two).unionByName(three)
+
+
 @query("snk2", "select route_id, miles, center_lat from routes")
 def snk2(spark, sf):
     root = Stages(spark).root + "/clusters"
