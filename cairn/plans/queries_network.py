@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cairn.functions import geo
-from cairn.operators import components as comp, contraction, distance, elevation as elev, network as net, walks
+from cairn.operators import components as comp, contraction, distance, elevation as elev, extracts, network as net, walks
 from cairn.plans import build
 from cairn.plans.registry import half, hav, query, r3
 from cairn.plans.views import kept, view
@@ -98,9 +98,7 @@ def prj5(spark, sf):
     return e.groupBy(net.water_type(F.col("tags")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "src2",
-    f"""
+_EXTRACT = f"""
     with t as ({NODE_TAGS}), w as (
       select distinct n.region_id, n.way_id as id from way_nodes n
       join nodes p on n.region_id = p.region_id and n.node_id = p.node_id join ways y on y.way_id = n.way_id
@@ -118,12 +116,53 @@ def prj5(spark, sf):
       where lat between min_lat and max_lat and lon between min_lon and max_lon
       union select n.region_id, n.node_id from way_nodes n join w on w.id = n.way_id
       union select v.region_id, 2000000000 + v.feature_id * 10 + v.pos from water_vertices v join w on w.id = 3000000000 + v.feature_id)
-    select region_id, id, 'node' as type from k union all select region_id, id, 'way' from w""",
-)
+    select region_id, id, 'node' as type from k union all select region_id, id, 'way' from w"""
+
+
+@query("src2", _EXTRACT)
 def src2(spark, sf):
     return net.extract(elements(spark, sf), view(spark, sf, "boxes")).select("region_id", "id", "type")
 
 
+#: The own query of every second region.
+_OWN = [
+    'way["highway"~"path|footway"]["sac_scale"]',
+    'way["waterway"~"stream|river"]',
+    'node["natural"="saddle"]',
+    'node["natural"~"water.all"]["name"!="none"]',
+    'node["highway"="trailhead"]',
+]
+
+
+@query(
+    "src2_own",
+    f"""with inside as (
+          select n.region_id, n.node_id from nodes n join boxes b on b.region_id = n.region_id where lat between min_lat and max_lat and lon between min_lon and max_lon),
+        w as (
+          select distinct v.region_id, v.way_id as id from way_nodes v join inside i on i.region_id = v.region_id and i.node_id = v.node_id
+          where v.way_id % 4 = 0 and v.region_id % 2 = 0
+          union select v.region_id, 3000000000 + v.feature_id from water_vertices v join features f on f.feature_id = v.feature_id join boxes b on b.region_id = v.region_id
+          where f.class = 'stream' and v.lat between min_lat and max_lat and v.lon between min_lon and max_lon and v.region_id % 2 = 0),
+        k as (
+          select t.region_id, t.id from ({NODE_TAGS}) t join features f on t.id = 1000000000 + f.feature_id join boxes b on b.region_id = t.region_id
+          where natural_tag in ('saddle', 'waterfall') and lat between min_lat and max_lat and lon between min_lon and max_lon and t.region_id % 2 = 0
+          union select i.region_id, i.node_id from inside i join trailheads h on h.node_id = i.node_id where i.region_id % 2 = 0
+          union select v.region_id, v.node_id from way_nodes v join w on w.id = v.way_id
+          union select v.region_id, 2000000000 + v.feature_id * 10 + v.pos from water_vertices v join w on w.id = 3000000000 + v.feature_id)
+        select region_id, id, 'node' as type from k union all select region_id, id, 'way' from w
+        union all select region_id, id, type from ({_EXTRACT}) x where region_id % 2 = 1""",
+)
+def src2_own(spark, sf):
+    """Extracts by the regions' own queries; every second region has none and takes the default clauses."""
+    box = [F.col(c) for c in ("min_lat", "min_lon", "max_lat", "max_lon")]
+    regions = view(spark, sf, "boxes").select(
+        "region_id",
+        F.struct(*[c.alias(n) for c, n in zip(box, ("minLat", "minLon", "maxLat", "maxLon"))]).alias("bbox"),
+        F.when(F.col("region_id") % 2 == 0, extracts.query_of(_OWN, box)).alias("overpassQuery"),
+    )
+    return extracts.extract_by_query(elements(spark, sf), extracts.own_or_default(regions)).select("region_id", "id", "type")
+
+
 # --- junctions and segments -----------------------------------------------
 
 JUNCTIONS = """
