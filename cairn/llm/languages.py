@@ -72,11 +72,19 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Centroids | None:
-    """Centroids from labelled rows; the driver gets at most about ``sample`` vectors of 16 kB."""
+    """Centroids from labelled rows; the driver gets at most about ``sample`` vectors of 16 kB.
+
+    Every language has an equal share of the sample and gives all its rows if they
+    are fewer, so a rare language is learned at every size. Of more than ``sample``
+    languages the most frequent ones are learned, the first by name among equals.
+    """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT)).select("doc_id", "lang", "text")
-    n = known.count()
-    if n > sample:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < sample)
+    shares = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()
+    if not shares:
+        return None
+    share = max(1, sample // len(shares))
+    sizes = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in shares], "lang string, n long"))
+    known = known.join(sizes, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.col("n")) < share).select("doc_id", "lang", "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

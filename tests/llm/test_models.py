@@ -134,6 +134,16 @@ def test_languages(documents):
     assert {r.lang_pred for r in languages.languages(docs, None).collect()} == {"und"}
 
 
+def test_rare_languages_keep_their_share_of_the_sample(documents):
+    texts = [f"the river and the hill number {i} are there" for i in range(400)] + [f"zwq xkv zwq jqx {i} xkv" for i in range(6)]
+    docs = documents(texts, [*range(406)], ["en"] * 400 + ["rare"] * 6)
+    model = languages.fit(docs, sample=40)
+    assert set(model.languages) == {"en", "rare"}
+    got = {r.doc_id: r.lang_pred for r in languages.languages(docs, model).collect()}
+    assert all(got[i] == ("en" if i < 400 else "rare") for i in range(406))
+    assert set(languages.fit(docs, sample=1).languages) == {"en"}
+
+
 def test_clauses():
     weights = toxicity.Weights({"fool": 4.0, "clod*": 3.0})
     told = lambda t: toxicity.clause_weights(toxicity._TOKEN.findall(t.lower()), weights)
