@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cairn.llm.common import slices
 
 SAMPLE = 2_000
+SHARE = 20  # rows of a language that the sample holds at least, if there are so many
 CLUSTERS = 4
 FAR = 1.0
 BUCKETS = 1 << 13
@@ -75,14 +76,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Centroids | None:
     """Centroids from labelled rows; the driver gets at most about ``sample`` vectors of 16 kB.
 
     Every language has an equal share of the sample and gives all its rows if they
-    are fewer, so a rare language is learned at every size. Of more than ``sample``
-    languages the most frequent ones are learned, the first by name among equals.
+    are fewer, so a rare language is learned at every size. A share is about ``SHARE``
+    rows at least (one larger gives none by a chance of 2e-9), so of more than
+    ``sample / SHARE`` languages the most frequent ones are learned, the first by name
+    among equals.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT)).select("doc_id", "lang", "text")
-    shares = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()
+    shares = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max(1, sample // SHARE)).collect()
     if not shares:
         return None
-    share = max(1, sample // len(shares))
+    share = max(SHARE, sample // len(shares))
     sizes = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in shares], "lang string, n long"))
     known = known.join(sizes, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.col("n")) < share).select("doc_id", "lang", "text")
 

@@ -141,7 +141,7 @@ def test_rare_languages_keep_their_share_of_the_sample(documents):
     assert set(model.languages) == {"en", "rare"}
     got = {r.doc_id: r.lang_pred for r in languages.languages(docs, model).collect()}
     assert all(got[i] == ("en" if i < 400 else "rare") for i in range(406))
-    assert set(languages.fit(docs, sample=1).languages) == {"en"}
+    assert set(languages.fit(docs, sample=30).languages) == {"en"}  # room for one language
 
 
 def test_clauses():
