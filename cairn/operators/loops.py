@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.functions.geo import round_to
@@ -245,10 +243,13 @@ def iou(a: Column, b: Column) -> Column:
     return F.when(union > 0, both / union).otherwise(0.0)
 
 
-def _prefixed(sets: DataFrame, threshold: float) -> DataFrame:
-    """``sets`` with items from rare to frequent, their number ``n``, and the ``prefix`` that similar sets share an item of.
+def overlapping_pairs(sets: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """Pairs of one region with an overlap above ``threshold``.
 
-    Two sets that overlap by more than ``threshold`` have one of these rarest items in common.
+    ``sets``: region_id, set_id, items (distinct). Two sets that overlap that
+    much must share one of their rarest items, so only a short prefix of each
+    set, rarest first, is joined; sizes are compared in the same join, and a
+    pair is tested once, at its first common prefix item.
     """
     tokens = sets.select("region_id", "set_id", F.explode("items").alias("item"))
     rarity = tokens.groupBy("region_id", "item").agg(F.count(F.lit(1)).alias("uses"))
@@ -260,75 +261,44 @@ def _prefixed(sets: DataFrame, threshold: float) -> DataFrame:
         .withColumn("n", F.size("items"))
     )
     keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    return ranked.withColumn("prefix", F.slice("items", F.lit(1), keep.cast("int")))
-
-
-def _meet(left: DataFrame, right: DataFrame, threshold: float, told: Column) -> DataFrame:
-    """Pairs of prefixed sets ``a`` and ``b`` with an overlap above ``threshold``, among those that ``told`` allows.
-
-    Sizes are compared in the join, and a pair is tested once, at its first common prefix item.
-    """
+    prefixed = ranked.withColumn("prefix", F.slice("items", F.lit(1), keep.cast("int")))
+    side = prefixed.select("*", F.explode("prefix").alias("item"))
 
-    def side(df: DataFrame, tag: str) -> DataFrame:
-        named = df.select("region_id", F.explode("prefix").alias("item"), *[F.col(c).alias(f"{tag}_{c}") for c in df.columns if c != "region_id"])
-        return named.withColumnRenamed(f"{tag}_set_id", tag)
+    def named(df: DataFrame, tag: str) -> DataFrame:
+        return df.select(
+            "region_id",
+            "item",
+            F.col("set_id").alias(tag),
+            F.col("n").alias(f"{tag}_n"),
+            F.col("items").alias(f"{tag}_items"),
+            F.col("prefix").alias(f"{tag}_prefix"),
+        )
 
     both = F.size(F.array_intersect("a_items", "b_items"))
     return (
-        side(left, "a")
-        .join(side(right, "b"), ["region_id", "item"])
-        .filter(told)
-        .filter((F.col("a_n") >= F.col("b_n") * threshold) & (F.col("b_n") >= F.col("a_n") * threshold))
+        named(side, "a")
+        .join(named(side, "b"), ["region_id", "item"])
+        .filter("a < b")
+        .filter(
+            (F.col("a_n") >= F.col("b_n") * threshold) & (F.col("b_n") >= F.col("a_n") * threshold)
+        )
         .filter(F.element_at(F.array_intersect("a_prefix", "b_prefix"), 1) == F.col("item"))
         .withColumn("shared", both)
         .withColumn("overlap", F.col("shared") / (F.col("a_n") + F.col("b_n") - F.col("shared")))
         .filter(F.col("overlap") > threshold)
+        .select("region_id", "a", "b", "shared", "overlap")
     )
 
 
-def overlapping_pairs(sets: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """Pairs of one region with an overlap above ``threshold``. ``sets``: region_id, set_id, items (distinct)."""
-    prefixed = _prefixed(sets, threshold)
-    return _meet(prefixed, prefixed, threshold, F.expr("a < b")).select("region_id", "a", "b", "shared", "overlap")
-
-
-def _leaders(sets: DataFrame, stages: Stages, threshold: float) -> list[DataFrame]:
-    """The sets that overlap no better leader, as one table a round. ``sets``: prefixed, with ``rank``.
-
-    An open set that is the best open one at each of its prefix items has no open
-    rival left, so it leads. At most one such set has a given item; open sets
-    meet that one only, and those that overlap it take no further part.
-    """
-    found, open_ = [], sets
-    while True:
-        best = (
-            open_.select("region_id", F.explode("prefix").alias("item"), "set_id", "rank")
-            .groupBy("region_id", "item")
-            .agg(F.min_by("set_id", "rank").alias("set_id"))
-        )
-        held = best.groupBy("region_id", "set_id").agg(F.count(F.lit(1)).alias("held"))
-        fresh = stages.cut(
-            open_.join(held, ["region_id", "set_id"], "left")
-            .filter(F.coalesce("held", F.lit(0)) == F.size("prefix"))
-            .drop("held")
-        )
-        found.append(fresh)
-        met = _meet(fresh, open_, threshold, F.expr("a_rank < b_rank"))
-        settled = met.select("region_id", F.col("b").alias("set_id")).unionByName(fresh.select("region_id", "set_id"))
-        open_ = stages.cut(open_.join(settled, ["region_id", "set_id"], "left_anti"), "true")
-        if not stages.seen["true"]:
-            return found
-
-
-def loop_families(loops: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+def loop_families(loops: DataFrame, threshold: float = SIMILARITY, max_rounds: int = 10000) -> DataFrame:
     """``region_id, loop_id, leader_id``: loops gathered around the best loop they overlap.
 
     ``loops``: region_id, loop_id, seg_ids, rank (orderable, unique; least is
     best). Walking loops from best to worst, a loop that overlaps no earlier
-    leader becomes one; others join the best leader they overlap. Leaders come
-    in rounds of loops that cannot hinder each other; only leaders meet other
-    loops, so no table of all overlapping pairs is made. Loops over the very same
-    segments behave alike, so only the best of each such group takes part.
+    leader becomes one; others join the best leader they overlap. Each round
+    settles every loop whose better rivals are settled, which gives the same
+    families as the walk. Loops over the very same segments behave alike, so
+    only the best of each such group takes part.
     """
     stages = Stages(loops.sparkSession)
     marked = loops.withColumn("items", F.array_sort(F.array_distinct("seg_ids"))).withColumn(
@@ -339,20 +309,55 @@ def loop_families(loops: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     )
     sets = stages.cut(distinct)
     ranks = sets.select("region_id", "set_id", "rank")
-    none = F.array().cast(sets.schema["items"].dataType)
-    full = stages.cut(
-        ranks.join(_prefixed(sets, threshold), ["region_id", "set_id"], "left").select(
-            "region_id", "set_id", "rank", F.coalesce("items", none).alias("items"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("prefix", none).alias("prefix")
+    rivals = stages.cut(
+        overlapping_pairs(sets, threshold)
+        .join(ranks.withColumnsRenamed({"set_id": "a", "rank": "a_rank"}), ["region_id", "a"])
+        .join(ranks.withColumnsRenamed({"set_id": "b", "rank": "b_rank"}), ["region_id", "b"])
+        .select(
+            "region_id",
+            F.when(F.col("a_rank") < F.col("b_rank"), F.col("a")).otherwise(F.col("b")).alias("better"),
+            F.when(F.col("a_rank") < F.col("b_rank"), F.col("b")).otherwise(F.col("a")).alias("set_id"),
+            F.least("a_rank", "b_rank").alias("better_rank"),
         )
     )
-    leaders = functools.reduce(DataFrame.unionByName, _leaders(full, stages, threshold))
-    members = full.join(leaders.select("region_id", "set_id"), ["region_id", "set_id"], "left_anti")
+    state = stages.cut(sets.select("region_id", "set_id", F.lit("open").alias("status")))
+    for _ in range(max_rounds):
+        seen = (
+            rivals.join(
+                state.withColumnsRenamed({"set_id": "better", "status": "better_status"}),
+                ["region_id", "better"],
+            )
+            .groupBy("region_id", "set_id")
+            .agg(
+                F.bool_or(F.col("better_status") == "leader").alias("led"),
+                F.bool_or(F.col("better_status") == "open").alias("blocked"),
+            )
+        )
+        state = stages.cut(
+            state.join(seen, ["region_id", "set_id"], "left").select(
+                "region_id",
+                "set_id",
+                F.when(F.col("status") != "open", F.col("status"))
+                .when(F.col("led"), "member")
+                .when(F.col("blocked"), "open")
+                .otherwise("leader")
+                .alias("status"),
+            ),
+            "status = 'open'",
+        )
+        if not stages.seen["status = 'open'"]:
+            break
+    else:
+        raise RuntimeError(f"families not settled after {max_rounds} rounds")
+
+    leaders = state.filter("status = 'leader'").select("region_id", "set_id")
     joined = (
-        _meet(leaders, members, threshold, F.expr("a_rank < b_rank"))
-        .groupBy("region_id", F.col("b").alias("set_id"))
-        .agg(F.min_by("a", "a_rank").alias("leader_set"))
+        rivals.join(leaders.withColumnRenamed("set_id", "better"), ["region_id", "better"], "left_semi")
+        .join(state.filter("status = 'member'"), ["region_id", "set_id"], "left_semi")
+        .groupBy("region_id", "set_id")
+        .agg(F.min_by("better", "better_rank").alias("leader_set"))
     )
-    assigned = joined.unionByName(leaders.select("region_id", "set_id", F.col("set_id").alias("leader_set")))
+    assigned = joined.unionByName(leaders.withColumn("leader_set", F.col("set_id")))
     best_of = sets.select(
         "region_id", F.col("set_id").alias("leader_set"), F.col("loop_id").alias("leader_id")
     )

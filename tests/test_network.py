@@ -346,24 +346,3 @@ def test_contraction_shrinks_and_drops_what_is_settled(spark):
     sizes = [r.count() for r in rounds]
     assert all(b <= 0.6 * a for a, b in zip(sizes, sizes[1:]) if a > 200) and sum(sizes) < 3 * sizes[0]
     assert all(r.filter("region_id = 2").count() == (2 if i == 0 else 0) for i, r in enumerate(rounds))
-
-
-def test_near_equal_loops_meet_their_leader_only(spark):
-    source = random.Random(8)
-    rows = []
-    for i in range(1500):
-        items = set(range(40)) - set(source.sample(range(40), 2)) | {1000 + i}
-        rows.append((1, f"l{i:04d}", sorted(items), f"{i:04d}"))
-    rows += [(2, "none", [], "a"), (2, "empty", [], "b"), (2, "own", [5], "c")]
-    df = spark.createDataFrame(rows, "region_id long, loop_id string, seg_ids array<long>, rank string")
-    got = {r["loop_id"]: r["leader_id"] for r in loops.loop_families(df).collect()}
-    assert {got[r[1]] for r in rows if r[0] == 1} == {"l0000"}
-    assert got["none"] == "none" and got["empty"] == "none" and got["own"] == "own"
-    assert loops.loop_families(df.limit(0)).count() == 0
-
-    sets = loops._prefixed(df.withColumnsRenamed({"loop_id": "set_id", "seg_ids": "items"}), 0.6).join(
-        df.select(F.col("loop_id").alias("set_id"), "rank"), "set_id"
-    )
-    stages = Stages(spark)
-    kept = [r["set_id"] for t in loops._leaders(sets.filter("region_id = 1"), stages, 0.6) for r in t.collect()]
-    assert kept == ["l0000"] and stages.count == 2  # one round: the leader, and nothing left open
