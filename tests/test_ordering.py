@@ -31,6 +31,13 @@ def test_spread_join_equals_a_join(spark):
     assert got.select("id", "w").exceptAll(want.select("id", "w")).isEmpty()
 
 
+def test_spread_join_sends_no_repeated_side_through_the_driver(spark):
+    """A side that is small before its repeats was broadcast with all of them."""
+    few = spark.range(7).select(F.col("id").alias("k"), F.col("id").alias("w"))
+    plan = spread_join(skewed(spark), few, ["k"], "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_chunks_do_not_change_a_series(spark):
     series = spark.range(500).select(F.lit(1).alias("s"), F.col("id").alias("pos"), (F.xxhash64("id") % 100).cast("double").alias("elev_ft"))
     whole = {r["pos"]: r["smooth_ft"] for r in elevation.smooth(series, ["s"], chunk=10**6).collect()}
