@@ -346,3 +346,28 @@ def test_contraction_shrinks_and_drops_what_is_settled(spark):
     sizes = [r.count() for r in rounds]
     assert all(b <= 0.6 * a for a, b in zip(sizes, sizes[1:]) if a > 200) and sum(sizes) < 3 * sizes[0]
     assert all(r.filter("region_id = 2").count() == (2 if i == 0 else 0) for i, r in enumerate(rounds))
+
+
+def test_settled_pieces_leave_the_rounds(spark, monkeypatch):
+    """Pieces that no open one touches any more are not written again."""
+    from cairn import session
+    from cairn.operators import contraction
+
+    # a chain of micro pieces that takes several rounds, and pairs that one round settles
+    rows = [(1, i, [i, i + 1], 0.001) for i in range(6)]
+    for i in range(1000, 5000, 100):
+        rows += [(1, i, [i, i + 1], 0.001), (1, i + 1, [i + 1, i + 2], 1.0)]
+    subs = spark.createDataFrame(rows, "region_id long, idx long, node_ids array<long>, miles double")
+    sizes, plain = [], session.Stages.cut
+
+    def counted(self, df, *flags):
+        out = plain(self, df, *flags)
+        if "status" in out.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(session.Stages, "cut", counted)
+    kept = contraction.contract(subs)
+    assert sizes[-1] < 10
+    merged = {r["idx"]: r["node_ids"] for r in kept.filter("idx >= 1000").collect()}
+    assert merged == {i + 1: [i, i + 1, i + 2] for i in range(1000, 5000, 100)}
