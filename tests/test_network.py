@@ -348,6 +348,26 @@ def test_contraction_shrinks_and_drops_what_is_settled(spark):
     assert all(r.filter("region_id = 2").count() == (2 if i == 0 else 0) for i, r in enumerate(rounds))
 
 
+def test_regions_of_one_task_need_no_rounds(spark, monkeypatch):
+    """Tasks join what they hold; only pieces that share nodes with others are contracted, with the same labels."""
+    paths = [(r, i, i + 1) for r in range(50) for i in range(40) if i % 10 != 9]
+    edges = spark.createDataFrame(paths, "region_id long, src long, dst long")
+    nodes = edges.select("region_id", F.col("src").alias("node_id"))
+    rounds, plain = [], components.contracted
+    monkeypatch.setattr(components, "contracted", lambda links, stages: rounds.append(links.count()) or plain(links, stages))
+    want = {(r, i, i // 10 * 10) for r in range(50) for i in range(40)}
+    assert {tuple(r) for r in components.components(nodes, edges).collect()} == want
+    assert not rounds
+    small = components.stars
+    monkeypatch.setattr(components, "stars", lambda links: small(links, 5))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert {tuple(r) for r in components.components(nodes, edges).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert rounds
+
+
 def test_settled_pieces_leave_the_rounds(spark, monkeypatch):
     """Pieces that no open one touches any more are not written again."""
     from cairn import session
