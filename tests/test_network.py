@@ -368,6 +368,20 @@ def test_regions_of_one_task_need_no_rounds(spark, monkeypatch):
     assert rounds
 
 
+def test_walks_grow_by_several_edges_a_round(spark, monkeypatch):
+    """A ring of 12 edges takes a third of the rounds."""
+    segs = spark.createDataFrame([(1, i, i, (i + 1) % 12, 3.0) for i in range(12)], "region_id long, seg_id long, start_node long, end_node long, length_mi double")
+    anchors = spark.createDataFrame([(1, 0)], "region_id long, anchor long")
+    rounds, plain = [], walks._Search.step
+    monkeypatch.setattr(walks._Search, "step", lambda self, grown: rounds.append(1) or plain(self, grown))
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    found = sorted(tuple(r["path"]) for r in walks.closed_walks(segs, anchors, 35.0, 36.5).collect())
+    ahead, back = [2 * i for i in range(12)], [2 * i + 1 for i in reversed(range(12))]
+    assert found == sorted(map(tuple, (ahead, back, ahead[:6] + back[6:], back[:6] + ahead[6:])))
+    assert len(rounds) <= 5
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == before
+
+
 def test_settled_pieces_leave_the_rounds(spark, monkeypatch):
     """Pieces that no open one touches any more are not written again."""
     from cairn import session
