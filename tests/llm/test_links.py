@@ -251,3 +251,22 @@ def test_bound_grows_with_the_line(documents):
     near = lambda a, b: a != b and distance(a, b) <= max(2, max(len(a), len(b)) // 50)
     want = {i: sum(near(a, b) for b in set(texts) if abs(len(a) - len(b)) < 60) for i, a in enumerate(texts)}
     assert got == want and sum(want.values()) > 20
+
+
+def test_lines_of_crowded_keys(documents):
+    """Many lines around one text, about half of them too far apart for a link: classes and links as by all pairs, meetings as few as keys."""
+    source = random.Random(5)
+    base = " ".join("".join(source.choice("abcdefgh") for _ in range(source.randint(2, 9))) for _ in range(40))
+    short = "a line of less than seventy letters that many others repeat"
+    texts = [edited(source, base, source.randint(1, 6)) for _ in range(150)] + [edited(source, short, source.randint(0, 3)) for _ in range(60)]
+    docs = documents(texts)
+    near = lambda a, b: a != b and lines.edit_distance(a, b, lines.bound(max(len(a), len(b)), 2)) <= lines.bound(max(len(a), len(b)), 2)
+    links = [(i, j) for i, j in combinations(range(len(texts)), 2) if near(texts[i], texts[j])]
+    first = groups(range(len(texts)), links + [(i, j) for i, j in combinations(range(len(texts)), 2) if texts[i] == texts[j]])
+    assert 3 * len(links) < 2 * sum(near(a, a + "x") for a in texts) ** 2 / 2 and len(set(first.values())) > 2
+    got = {r.doc_id: (r.n_links, r.n_gone) for r in lines.judged(docs).collect()}
+    want = {i: (sum(near(t, u) for u in set(texts)), int(first[i] != i)) for i, t in enumerate(texts)}
+    assert got == want
+    rows = lines.keys(docs, 2, 20)
+    met = lines.meetings(rows)
+    assert 0 < met.count() < rows.count() and met.select("line", "head").distinct().count() < len(links)
