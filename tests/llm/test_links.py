@@ -4,8 +4,10 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.llm import decontamination, fingerprints, lines, near_copies
+from cairn.llm.common import maybe_among
 from cairn.llm.links import least_reachable
 from cairn.session import Stages
 
@@ -270,3 +272,27 @@ def test_lines_of_crowded_keys(documents):
     rows = lines.keys(docs, 2, 20)
     met = lines.meetings(rows)
     assert 0 < met.count() < rows.count() and met.select("line", "head").distinct().count() < len(links)
+
+
+def test_only_shared_keys_become_rows(documents):
+    """Keys of one line alone take no row, a line that many tasks hold is one row first, and lines meet as by all keys."""
+    source = random.Random(6)
+    texts = ["".join(source.choice("abcdefgh ") for _ in range(source.choice([60, 400]))) for _ in range(80)]
+    near = [edited(source, t, 2) for t in texts[:6]]
+    docs = documents(texts + near + texts[-9:] * 4).repartition(8)
+    every, few = lines.keys(docs, 2, 20), lines.shared_keys(docs, 2, 20, Stages(docs.sparkSession))
+    met = [sorted({(r.key, r.line, r.head) for r in lines.meetings(x).collect()}) for x in (every, few)]
+    assert met[0] == met[1] and len(met[0]) > 20
+    assert few.count() < 3 * len(met[0]) < every.count() / 2
+
+
+def test_texts_that_lose_no_line_are_not_shuffled(documents):
+    texts = [f"an own line of document {i} and {i * i}" for i in range(40)]
+    docs = documents(texts + texts[:3])
+    gone, _ = lines.repeated(docs)
+    left = lines.without_lines(docs, gone)
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and sum("Join LeftOuter" in x and "broadcast" not in x for x in plan.split("\n")) == 1
+    flags = maybe_among(docs.withColumn("hash", F.xxhash64("text")), F.col("hash"), docs.filter("doc_id < 3").select(F.xxhash64("text").alias("hash")), "maybe")
+    assert {r.doc_id for r in flags.filter("maybe").collect()} == {0, 1, 2, 40, 41, 42}
+    assert sorted((r.doc_id, r.emptied) for r in left.collect()) == [(i, i >= 40) for i in range(43)]
