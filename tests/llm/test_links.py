@@ -287,12 +287,13 @@ def test_only_shared_keys_become_rows(documents):
 
 
 def test_texts_that_lose_no_line_are_not_shuffled(documents):
-    texts = [f"an own line of document {i} and {i * i}" for i in range(40)]
+    source = random.Random(7)
+    texts = ["an own line " + "".join(source.choice("abcdefgh") for _ in range(40)) for i in range(40)]
     docs = documents(texts + texts[:3])
     gone, _ = lines.repeated(docs)
     left = lines.without_lines(docs, gone)
     plan = left._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.startswith("Union") and sum("Join LeftOuter" in x and "broadcast" not in x for x in plan.split("\n")) == 1
+    assert "Union" in plan and sum("Join LeftOuter" in x and "broadcast" not in x for x in plan.split("\n")) == 1
     flags = maybe_among(docs.withColumn("hash", F.xxhash64("text")), F.col("hash"), docs.filter("doc_id < 3").select(F.xxhash64("text").alias("hash")), "maybe")
     assert {r.doc_id for r in flags.filter("maybe").collect()} == {0, 1, 2, 40, 41, 42}
     assert sorted((r.doc_id, r.emptied) for r in left.collect()) == [(i, i >= 40) for i in range(43)]
