@@ -405,3 +405,23 @@ def test_settled_pieces_leave_the_rounds(spark, monkeypatch):
     assert sizes[-1] < 10
     merged = {r["idx"]: r["node_ids"] for r in kept.filter("idx >= 1000").collect()}
     assert merged == {i + 1: [i, i + 1, i + 2] for i in range(1000, 5000, 100)}
+
+
+def test_settled_anchors_leave_the_rounds(spark, monkeypatch):
+    """Many anchors with one neighbour and one long chain: later rounds write the chain only."""
+    chain = [(i, i + 1, 1.0) for i in range(12)]
+    pairs = [(100 + 2 * i, 101 + 2 * i, 1.0) for i in range(120)]
+    segs = segments(spark, chain + pairs)
+    anchors = spark.createDataFrame([(1, 0)] + [(1, a) for a, _, _ in pairs], "region_id long, anchor long")
+    rows, cut = [], walks.Stages.cut
+
+    def counted(self, df, *flags):
+        made = cut(self, df, *flags)
+        if "true" in flags:
+            rows.append(self.seen["true"])
+        return made
+
+    monkeypatch.setattr(walks.Stages, "cut", counted)
+    got = sorted((r.anchor, r.node_id, r.dist) for r in walks.shortest_miles(anchors, walks.directed_edges(segs), 20.0).collect())
+    assert got == sorted([(0, i, float(i)) for i in range(13)] + [(a, x, float(x != a)) for a, b, _ in pairs for x in (a, b)])
+    assert max(rows) > 240 and rows[-1] <= 13
