@@ -2,8 +2,8 @@
 
 from pyspark.sql import Window, functions as F
 
-from cairn.operators import elevation
-from cairn.operators.ordering import numbered, spread_join
+from cairn.operators import elevation, scoring
+from cairn.operators.ordering import numbered, short_key, spread_join
 
 
 def skewed(spark):
@@ -45,3 +45,11 @@ def test_chunks_do_not_change_a_series(spark):
     assert whole == cut and len(whole) == 500
     gains = [elevation.gain_loss(elevation.smooth(series, ["s"], chunk=c), ["s"]).first() for c in (7, 10**6)]
     assert gains[0] == gains[1]
+
+
+def test_short_keys_differ_and_are_short(spark):
+    keys = spark.range(20000).select(short_key(F.col("id").cast("string")).alias("k"))
+    assert keys.distinct().count() == 20000 and {len(r.k) for r in keys.limit(50).collect()} == {16}
+    want = {"region_id": 1, "days": 3, "miles_per_day": 8.0, "tolerance": "any", "scenery": ["lakes"], "crowd": "mixed"}
+    made = spark.createDataFrame([want], "region_id long, days int, miles_per_day double, tolerance string, scenery array<string>, crowd string")
+    assert len(made.select(scoring.profile_key()).first()[0]) == 16
