@@ -425,3 +425,13 @@ def test_settled_anchors_leave_the_rounds(spark, monkeypatch):
     got = sorted((r.anchor, r.node_id, r.dist) for r in walks.shortest_miles(anchors, walks.directed_edges(segs), 20.0).collect())
     assert got == sorted([(0, i, float(i)) for i in range(13)] + [(a, x, float(x != a)) for a, b, _ in pairs for x in (a, b)])
     assert max(rows) > 240 and rows[-1] <= 13
+
+
+def test_all_walks_without_a_cap(spark):
+    """More walks than the cap leaves, some of them parked on the way: without it none is missing."""
+    edges = [(a, b, 1.0) for a in range(6) for b in range(a + 1, 6)]
+    segs = segments(spark, edges)
+    given = spark.createDataFrame([(1, 0)], "region_id long, anchor long")
+    want = brute_walks(edges, [0], 6, 7, cap=10**9)
+    assert len(want) > walks.ANCHOR_CAP
+    assert got_walks(walks.closed_walks(segs, given, 6.0, 7.0, cap=None, frontier=64)) == sorted(want)
